@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, token_counts
-from factlog.llm.common import table
+from factlog.llm import bpe, language_id, quality, token_counts
+from factlog.llm.common import fold, table
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(1, 3))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"), fold(2, 4))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op9_bpe": op9_bpe}
+QUERIES = {"op2_token_counts": op2_token_counts, "op5_quality": op5_quality, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
