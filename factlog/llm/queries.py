@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, language_id, quality, token_counts
+from factlog.llm import bpe, language_id, pii, pii_examples, quality, token_counts
 from factlog.llm.common import fold, table
 
 
@@ -13,6 +13,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), pii.train(pii_examples.examples()))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(1, 3))
 
@@ -25,5 +29,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op5_quality": op5_quality, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op5_quality": op5_quality, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
