@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, language_id, pii, pii_examples, quality, token_counts
+from factlog.llm import bpe, language_id, ngram_join, packing, pii, pii_examples, quality, token_counts
 from factlog.llm.common import fold, table
 
 
@@ -21,6 +21,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(1, 3))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"), fold(2, 4))
 
@@ -29,5 +37,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op5_quality": op5_quality, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
