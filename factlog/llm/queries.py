@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, language_id, ngram_join, packing, pii, pii_examples, quality, token_counts
+from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, packing, pii, pii_examples, quality, token_counts
 from factlog.llm.common import fold, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,5 +41,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
 ORACLE_SQL: dict[str, str] = {}
