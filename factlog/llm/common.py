@@ -34,3 +34,19 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+
+
+def keep_rows(docs: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of `docs`, all columns as they are, for which `wanted` holds; decided batch by batch inside the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wanted(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """`docs` less the rows whose doc_id is in `ids`. Up to `most` ids (16 MB) are broadcast; more are joined by a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_anti")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import texts_of
+from factlog.llm.common import texts_of, without
 from factlog.operators.components import connected_components
 from factlog.session import cut, partitions, written
 
@@ -372,3 +372,14 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     linked = rows.where("doc_id IS NOT NULL AND n > 0").join(classes, ["k1", "k2"], "left")
     alone = rows.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.select("doc_id", "n", "component_id", "n_links").union(alone).withColumnRenamed("n", "n_shingles")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of `docs`, with all their columns, less those whose component has a smaller doc_id.
+
+    A document is its doc_id: if one row of an id is dropped, all are, and rows that repeat an id and its text are one. Rows with a null id stay.
+    """
+    found = ngram_join(docs, width, percent)
+    n, ids, nulls = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    kept = without(docs, found.where("component_id <> doc_id").select("doc_id").distinct())
+    return kept if n - nulls == ids else kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))

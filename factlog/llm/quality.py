@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import texts_of
+from factlog.llm.common import keep_rows, texts_of
 
 DIM = 1 << 15  # hashed words
 STATS = 16
@@ -163,3 +163,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, rows: int = 819
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return marked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out, rows: int = 8192) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score at least 0.5; trained as in `quality_scores`."""
+    machine = train(docs.where(~held_out & F.col("text").isNotNull()), labels, rows)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def good(batch: pa.RecordBatch) -> list[bool]:
+        texts, chars, places = texts_of(batch), _chars(batch, batch.num_rows), Words()
+        return [bool(s >= 0.5) for i in range(0, len(texts), 500) for s in shared.value.score(*features(texts[i : i + 500], chars[i : i + 500], places))]
+
+    return keep_rows(docs, good)

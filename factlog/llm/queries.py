@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, packing, pii, pii_examples, quality, token_counts
+from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, packing, pii, pii_examples, pitman_yor, quality, spotsigs, token_counts
 from factlog.llm.common import fold, table
 
 
@@ -33,6 +33,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.spot_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"), fold(2, 4))
 
@@ -41,5 +45,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.lm_scores(table(spark, sf_dir, "documents"), fold(2, 7))
+
+
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_spotsigs": op7_spotsigs, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_pitman_yor": op10_pitman_yor}
 ORACLE_SQL: dict[str, str] = {}
