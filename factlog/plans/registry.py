@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from factlog.plans import log_queries
+
+QUERIES: dict = {**log_queries.Q}
+ORACLE_SQL: dict = {**log_queries.SQL}
+FLAGSHIP = "p1_latest"
