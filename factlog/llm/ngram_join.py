@@ -5,8 +5,9 @@ Sets are ordered by a hash of the shingle, and every step is exact:
 1. Equal sets are one class.
 2. A set that links with another shares at least a known share of the first half of its order with it. Shingles of
    those halves are counted in packed, sorted lists; a set too few of whose shingles occur elsewhere is skipped as a whole.
-3. The rest is indexed by the classic prefix. Lists are sorted by size and skipped in blocks wherever the sizes leave a
-   gap; what shares a block joins one candidate group. Only a spanning star of each block is emitted, never its pairs.
+3. Of the rest, the frequency of every shingle is counted in the same way, and sets are indexed by the classic prefix, the
+   rare shingles first. Lists are sorted by size and skipped in blocks wherever the sizes leave a gap; what shares a
+   block joins one candidate group. Only a spanning star of each block is emitted, never its pairs.
 4. Inside a group, answers are derived from set relations: shingles that a whole block has are counted once, from
    one of its sets, and the overlaps of all others follow from the shingles in which they differ. Large groups are cut
    into blocks, so no task holds a whole group.
@@ -185,27 +186,88 @@ def _shared_counts(lists: DataFrame, buckets: int) -> DataFrame:
     return found.repartition(partitions(lists.sparkSession), "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk long, idx int, hits long")
 
 
-def _stars(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """`(src, dst)`: a star for every block of sets that have a prefix shingle in common and no gap in their sizes."""
+def _chunks(sets: DataFrame) -> DataFrame:
+    """The sets of `(cid, grams)` by the chunk: ids, sizes, and all shingles in a row."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = batch.column("cid").to_numpy()
-            grams = [np.frombuffer(x, np.uint64) for x in batch.column("grams").to_pylist()]
-            size = np.array([len(g) for g in grams])
-            keep = size - -(-percent * size // 100) + 1
-            flat = np.concatenate([g[:k] for g, k in zip(grams, keep, strict=True)])
-            bucket, at = place(flat, buckets)
-            order = np.lexsort((at, bucket))
-            owner = np.repeat(np.arange(len(ids)), keep)[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            raw = batch.column("grams").to_pylist()
+            ids, size = batch.column("cid").to_numpy(), np.array([len(x) // 8 for x in raw], np.int64)
+            last = 0
+            for i in range(len(raw)):
+                if i + 1 == len(raw) or size[last : i + 2].sum() > 400_000:
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([(task << 24) + seq]), "ids": pa.array([ids[last : i + 1].tobytes()]), "sizes": pa.array([size[last : i + 1].tobytes()]), "grams": pa.array([b"".join(raw[last : i + 1])])})
+                    last, seq = i + 1, seq + 1
+
+    return sets.mapInArrow(run, "chunk long, ids binary, sizes binary, grams binary")
+
+
+def _sorted_places(grams: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a chunk's shingles are sorted by bucket and place, the places, and where each bucket begins."""
+    bucket, at = place(np.frombuffer(grams, np.uint64), buckets)
+    order = np.lexsort((at, bucket))
+    return order, at[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
+    """`(chunk, bucket, df)`: in how many sets each shingle of the chunk occurs, in the order of `_sorted_places`."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, grams in zip(batch.column("chunk").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                _, at, cuts = _sorted_places(grams, buckets)
+                some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int64()), "places": pa.array([_pack(at[cuts[b] : cuts[b + 1]], np.zeros(cuts[b + 1] - cuts[b], np.uint16)) for b in some], pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, "bucket"):
+            parts = [_unpack(x)[0] for x in t.column("places").to_pylist()]
+            _, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            df = np.minimum(n, 65535).astype("<u2")[back]
+            ends = np.cumsum([len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), t.column("bucket").combine_chunks(), pa.array([zlib.compress(df[e - len(x) : e].tobytes(), 1) for e, x in zip(ends, parts, strict=True)], pa.binary())], ["chunk", "bucket", "df"])
+
+    n = max(partitions(chunks.sparkSession), min(buckets, 20_000))
+    return chunks.select("chunk", "grams").mapInArrow(ask, "bucket int, chunk long, places binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, df binary")
+
+
+def _stars(chunks: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """`(src, dst)`: a star for every block of sets that have a prefix shingle in common and no gap in their sizes.
+
+    Shingles are ordered by their frequency, the rare first, so prefixes avoid what many sets have; sets of which too few
+    shingles occur in any other set are skipped.
+    """
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_key(batches, "chunk"):
+            rows = {b: i for i, b in enumerate(t.column("bucket").to_pylist())}
+            own = rows.pop(-1)
+            ids, size = (np.frombuffer(t.column(c)[own].as_py(), np.int64) for c in ("ids", "sizes"))
+            grams = t.column("grams")[own].as_py()
+            order, at, cuts = _sorted_places(grams, buckets)
+            df = np.zeros(len(order), np.int64)
+            for b, i in rows.items():
+                df[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(zlib.decompress(t.column("df")[i].as_py()), "<u2")
+            flat = np.frombuffer(grams, np.uint64)
+            owner = np.repeat(np.arange(len(ids)), size)
+            least = -(-percent * size // 100)
+            shared = np.bincount(owner[df > 1], minlength=len(ids)) >= least
+            by_rarity = np.lexsort((flat, df, owner))
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = by_rarity[(rank < np.repeat(size - least + 1, size)) & np.repeat(shared, size)]
+            keep = keep[df[keep] > 1]
+            bucket, place_of = place(flat[keep], buckets)
+            sort = np.lexsort((place_of, bucket))
+            keep, place_of = keep[sort], place_of[sort]
+            cuts = np.searchsorted(bucket[sort], np.arange(buckets + 1))
             some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            at = at[order]
+            part = [keep[cuts[b] : cuts[b + 1]] for b in some]
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(some, pa.int32()),
-                "places": pa.array([at[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
-                "ids": pa.array([ids[owner[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()),
-                "sizes": pa.array([size[owner[cuts[b] : cuts[b + 1]]].astype(np.int32).tobytes() for b in some], pa.binary()),
+                "places": pa.array([place_of[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
+                "ids": pa.array([ids[owner[k]].tobytes() for k in part], pa.binary()),
+                "sizes": pa.array([size[owner[k]].astype(np.int32).tobytes() for k in part], pa.binary()),
             })
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +281,27 @@ def _stars(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
             pairs = np.unique(np.stack([low, ids], 1)[low != ids], axis=0)
             yield pa.RecordBatch.from_pydict({"src": pa.array(pairs[:, 0]), "dst": pa.array(pairs[:, 1])})
 
-    n = max(partitions(sets.sparkSession), min(buckets, 20_000))
-    lists = sets.mapInArrow(index, "bucket int, places binary, ids binary, sizes binary")
+    spark = chunks.sparkSession
+    n = max(partitions(spark), min(buckets, 20_000))
+    none = F.lit(None).cast("binary")
+    own = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "sizes", "grams", none.alias("df"))
+    both = own.union(_frequencies(chunks, buckets).select("chunk", "bucket", none, none, none, "df"))
+    lists = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(index, "bucket int, places binary, ids binary, sizes binary")
     return lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(link, "src long, dst long")
 
 
+def _unchunked(chunks: DataFrame) -> DataFrame:
+    """`(cid, grams)` again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, sizes, grams in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "grams")), strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int64)) * 8
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(np.frombuffer(ids, np.int64)), "grams": pa.array([grams[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())})
+
+    return chunks.select("ids", "sizes", "grams").mapInArrow(run, "cid long, grams binary")
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of the sets in `a` with those in `b` (None: with each other)."""
     every = a + (b or [])
@@ -324,7 +402,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     component_id is the smallest doc_id that is reachable by links, itself included; n_links counts the other rows that
     are linked directly. Null texts, empty ones and ones without words have no shingles, link with nothing and are their
     own component. Rows with a null doc_id link with nothing and have a null component. Repeated rows are copies of each
-    other: each is returned, and each counts as a link of the others. Other columns are dropped; no rows give no rows.
+    other: each is returned, and each counts as a link of the others. An id
+    that stands for several texts has the links and component of any of them. Other columns are dropped; no rows give no rows.
     """
     spark = docs.sparkSession
     total = docs.count()
@@ -351,13 +430,16 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
             ok = [i for i, (k, w) in enumerate(zip(key, batch.column("want").to_pylist(), strict=True)) if k == w]  # an id may stand for several texts
             yield pa.RecordBatch.from_pydict({"cid": batch.column("doc_id").cast(pa.int64()).take(pa.array(ok, pa.int32())), "k1": pa.array([int(key[i]) for i in ok], pa.int64()), "grams": pa.array([raw[i] for i in ok], pa.binary())})
 
-    got = written(chosen.mapInArrow(grams, "cid long, k1 long, grams binary").dropDuplicates(["cid", "k1"]))
-    group = connected_components(_stars(got, buckets, percent).distinct()).select(F.col("id").alias("cid"), F.col("component").alias("grp"))
+    got = chosen.mapInArrow(grams, "cid long, k1 long, grams binary")
+    n, ids = rows.where("doc_id IS NOT NULL").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    got = got if n == ids else got.dropDuplicates(["cid", "k1"])
+    chunks = written(_chunks(got.select("cid", "grams")))
+    group = connected_components(_stars(chunks, buckets, percent).distinct()).select(F.col("id").alias("cid"), F.col("component").alias("grp"))
     group = cut(group)
     sizes = group.groupBy("grp").agg(F.count("*").alias("size"))
     cells = F.ceil(F.col("size") / F.least(F.lit(2048), F.greatest(F.lit(256), F.ceil(F.col("size") / 16))))
     group = cut(group.join(sizes, "grp").select("cid", "grp", cells.cast("int").alias("cells")))
-    members = got.join(group, "cid").join(classes.select("cid", "k1", "copies"), ["cid", "k1"])
+    members = _unchunked(chunks).join(group.join(classes.groupBy("cid").agg(F.max("copies").alias("copies")), "cid"), "cid")
     mine = F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int")
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
