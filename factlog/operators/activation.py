@@ -99,7 +99,7 @@ def lifecycle(states: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
         .otherwise("OK")
     )
     row = lambda a, v: F.struct(F.lit(a).alias("a"), v.cast("string").alias("v"))
-    pin = [row("pinned", F.lit("true")), row("pin_activation", F.round(lifted, 9))]
+    pin = [row("pinned", F.lit("true")), row("pin_activation", lifted)]
     facts = (
         F.when(F.col("status") != "OK", F.array(row(None, F.lit(None))))
         .when((F.col("action") == "pin") & F.col("evicted"), F.array(*pin, row("evicted_at_retracted", stamp)))

@@ -60,6 +60,7 @@ def _local_moves(edges: DataFrame, gamma: float, rounds: int) -> DataFrame:
     degree = both.groupBy("a").agg(F.sum("weight").alias("k"))
     total = degree.agg(F.sum("k")).first()[0] or 0
     at = cut(degree.select(F.col("a").alias("id"), F.col("a").alias("community"), "k"))
+    still = 0
     for r in range(rounds):
         sums = at.groupBy("community").agg(F.sum("k").alias("tot"))
         near = both.where("a <> b").join(at.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("kin"))
@@ -73,7 +74,8 @@ def _local_moves(edges: DataFrame, gamma: float, rounds: int) -> DataFrame:
         moved = at.join(best.withColumnRenamed("a", "id"), "id").select("id", F.when(mine, F.col("to")).otherwise(F.col("community")).alias("community"), "k", (mine & (F.col("to") != F.col("community"))).alias("moved"))
         moved = cut(moved)
         at = moved.select("id", "community", "k")
-        if r % 2 and moved.where("moved").isEmpty():
+        still = 0 if not moved.where("moved").isEmpty() else still + 1
+        if still == 2:  # neither half moves
             break
     return at.select("id", "community")
 
@@ -103,23 +105,23 @@ def hierarchy(edges: DataFrame, gamma: float = 1.0, levels: int = 10, rounds: in
     return out
 
 
-def leiden(edges: DataFrame, resolutions: list[float] = (10.0, 5.0, 2.5)) -> DataFrame:
+def leiden(edges: DataFrame, resolutions: list[float] = (10.0, 5.0, 2.5), passes: int = 10, rounds: int = 10) -> DataFrame:
     """`(level, id, community)`: the last pass for each resolution; level 0 is the first, finest one."""
     if not resolutions or any(r <= 0 for r in resolutions):
         raise ValueError("resolutions must be positive")  # G14
-    parts = [hierarchy(edges, g)[-1].select(F.lit(i).alias("level"), "id", "community") for i, g in enumerate(resolutions)]
+    parts = [hierarchy(edges, g, passes, rounds)[-1].select(F.lit(i).alias("level"), "id", "community") for i, g in enumerate(resolutions)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-def louvain(edges: DataFrame, levels: int = 3) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 3, passes: int = 10, rounds: int = 10) -> DataFrame:
     """One run; level i is pass min(i, last)."""
-    passes = hierarchy(edges)
+    found = hierarchy(edges, 1.0, passes, rounds)
     out = None
     for i in range(levels):
-        p = passes[min(i, len(passes) - 1)].select(F.lit(i).alias("level"), "id", "community")
+        p = found[min(i, len(found) - 1)].select(F.lit(i).alias("level"), "id", "community")
         out = p if out is None else out.union(p)
     return out
 

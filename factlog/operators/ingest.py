@@ -16,6 +16,10 @@ def glob_regex(pattern: str) -> str:
     return "^" + fnmatch.translate(pattern).replace("(?s:", "(?:").replace(".*", "[^/]*").replace("(?>[^/]*?", "(?:[^/]*?").removesuffix(r"\Z").removesuffix(r"\z") + "$"
 
 
+def _any_part(pattern: str):
+    return lambda part: part.rlike(pattern)
+
+
 def drop_reason(path="path", size="size", deny: list[str] = (), ignore: list[str] = ()) -> Column:
     """Why a file is not read, or null: a pruned directory, a deny glob (path or basename), an ignore rule, its size.
 
@@ -30,13 +34,13 @@ def drop_reason(path="path", size="size", deny: list[str] = (), ignore: list[str
         out = out.when(p.rlike(glob_regex(g)) | base.rlike(glob_regex(g)), "denied")
     for rule in ignore:
         r = rule.strip().rstrip("/").lstrip("/")
-        exact = glob_regex(r)
+        exact, any_part = glob_regex(r), _any_part(glob_regex(r))
         if rule.endswith("/"):
-            hit = F.exists(dirs, lambda d, exact=exact: d.rlike(exact))
+            hit = F.exists(dirs, any_part)
         elif rule.startswith("/") or "/" in rule:
             hit = p.rlike(exact)
         else:
-            hit = p.rlike(exact) | F.exists(parts, lambda d, exact=exact: d.rlike(exact))
+            hit = p.rlike(exact) | F.exists(parts, any_part)
         out = out.when(hit, "ignored")
     return out.when(F.col(size) > MAX_FILE_BYTES, "too_large")
 
