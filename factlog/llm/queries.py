@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, packing, pii, pii_examples, pitman_yor, quality, spotsigs, token_counts
+from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, oracles, packing, pii, pii_examples, pitman_yor, quality, spotsigs, token_counts
 from factlog.llm.common import fold, table
 
 
@@ -50,4 +50,4 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_spotsigs": op7_spotsigs, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_pitman_yor": op10_pitman_yor}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
