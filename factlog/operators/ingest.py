@@ -51,35 +51,28 @@ def extension(path="path") -> Column:
 
 def language(path="path") -> Column:
     """By the extension; null if unknown."""
-    ext = extension(path)
-    out = None
-    for name, _, exts in LANGUAGES:
-        out = F.when(ext.isin(exts), name) if out is None else out.when(ext.isin(exts), name)
-    return out
+    pairs = [F.lit(x) for name, _, exts in LANGUAGES for e in exts for x in (e, name)]
+    return F.try_element_at(F.create_map(*pairs), extension(path))
 
 
-def module_key(path="path") -> Column:
+def module_key(lang: Column, path="path") -> Column:
     """`language:strategy:directory`, `…:directory/stem` or `…:path`, by the language's strategy; null if unknown."""
     p = F.col(path)
     folder = F.when(p.contains("/"), F.regexp_replace(p, "/[^/]*$", "")).otherwise(".")
     stem = F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.[^.]*$", "")
-    lang = language(path)
-    out = None
-    for name, strategy, _ in LANGUAGES:
-        part = folder if strategy in ("per-package", "per-module") else F.concat(folder, F.lit("/"), stem) if strategy == "per-pair" else p
-        case = F.concat(F.lit(f"{name}:{strategy}:"), part)
-        out = F.when(lang == name, case) if out is None else out.when(lang == name, case)
-    return out
+    strategy = F.try_element_at(F.create_map(*[F.lit(x) for name, s, _ in LANGUAGES for x in (name, s)]), lang)
+    part = F.when(strategy.isin("per-package", "per-module"), folder).when(strategy == "per-pair", F.concat(folder, F.lit("/"), stem)).otherwise(p)
+    return F.concat(lang, F.lit(":"), strategy, F.lit(":"), part)
 
 
 def modules(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Every file with its module; of a module with several files over `limit` bytes each file is one of its own."""
-    df = files.withColumn("module", module_key()).where("module IS NOT NULL")
+    df = files.withColumn("lang", language()).where("lang IS NOT NULL").withColumn("module", module_key(F.col("lang")))
     if limit is None:
-        return df
+        return df.drop("lang")
     w = Window.partitionBy("module")
     large = (F.sum("size").over(w) > limit) & (F.count("*").over(w) > 1)
-    return df.withColumn("module", F.when(large, F.concat(language(), F.lit(":per-file:"), "path")).otherwise(F.col("module")))
+    return df.withColumn("module", F.when(large, F.concat("lang", F.lit(":per-file:"), "path")).otherwise(F.col("module"))).drop("lang")
 
 
 def module_table(grouped: DataFrame) -> DataFrame:
