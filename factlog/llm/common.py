@@ -13,11 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that are whole texts are wide: hand them to Python in Arrow batches of `rows` rows, so that a task's buffers on
+    either side stay at a few MB. A setting of the session that is smaller already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def fold(remainder: int, modulus: int, column: str = "doc_id"):
     """Whether crc32 of the id's text leaves `remainder`: the fixed hold-out rule. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most `rows` rows, which bounds the Python objects that a task holds at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts; null counts as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -27,7 +43,7 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
     """Apply `each` to every Arrow batch inside the tasks; rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 yield each(batch)
 
@@ -40,7 +56,7 @@ def keep_rows(docs: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) -
     """The rows of `docs`, all columns as they are, for which `wanted` holds; decided batch by batch inside the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(wanted(batch), pa.bool_()))
 
