@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factlog.llm import language_id, ngram_join, packing, pii, pii_examples, quality
-from factlog.llm.common import fold, table
+from factlog.llm.common import fold, table, whole_texts
 from factlog.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), fold(1, 3))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return language_id.keep_known(docs, fold(2, 4))
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return ngram_join.keep_one(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return pii.redact_documents(docs, pii.train(pii_examples.examples()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return packing.best_fit(docs)
 
 

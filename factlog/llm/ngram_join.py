@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import texts_of, without
+from factlog.llm.common import small, texts_of, without
 from factlog.operators.components import connected_components
 from factlog.session import cut, partitions, written
 
-CHUNK_DOCS, CHUNK_GRAMS = 8192, 1_500_000
+CHUNK_DOCS, CHUNK_GRAMS = 8192, 1_000_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,10 +41,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; a worker keeps at most 2**18."""
+    """64-bit hashes of words; a worker keeps at most 2**17."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         out = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 "k2": pa.array([k[1] for k in keys] + [None] * m, pa.int64()),
             })
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 s = shingles(text, width, hashes)
                 raw = s.tobytes()
@@ -332,7 +332,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
         out += found.reshape(n, m)
     if common.any():  # long lists: the sets differ in these columns only, block by block of columns
         new = np.cumsum(common) - 1
-        width = max(64, (1 << 24) // len(every))
+        width = max(64, (1 << 22) // len(every))
         at = common[column]
         r, c = row[at], new[column[at]]
         for lo in range(0, int(new[-1]) + 1, width):
@@ -424,7 +424,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             raw = [shingles(x, width, hashes).tobytes() for x in texts_of(batch)]
             key = [np.frombuffer(xxhash.xxh3_128_digest(x), np.int64)[0] for x in raw]
             ok = [i for i, (k, w) in enumerate(zip(key, batch.column("want").to_pylist(), strict=True)) if k == w]  # an id may stand for several texts

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import keep_rows, texts_of
+from factlog.llm.common import keep_rows, small, texts_of
 
 DIM = 1 << 15  # hashed words
 STATS = 16
@@ -24,10 +24,10 @@ _CLASS[128:] = 8
 
 
 class Words(dict):
-    """Hashed place of a word; at most 2**18 are kept in a worker."""
+    """Hashed place of a word; at most 2**17 are kept in a worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         out = zlib.crc32(word) % DIM
         if len(word) <= 64:
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192) -> Machine:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Words()
-        for batch in batches:
+        for batch in small(batches):
             offsets, at, x = features(texts_of(batch), _chars(batch, batch.num_rows), places)
             cuts = zip(offsets, offsets[1:], strict=False)
             parts = [(at[a:b].tobytes(), x[a:b].tobytes()) for a, b in cuts]
@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, rows: int = 819
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Words()
-        for batch in batches:
+        for batch in small(batches):
             texts, chars = texts_of(batch), _chars(batch, batch.num_rows)
             score = np.concatenate([shared.value.score(*features(texts[i : i + 500], chars[i : i + 500], places)) for i in range(0, len(texts), 500)] or [np.zeros(0)])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
