@@ -1,13 +1,13 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of words.
 
-The restaurants: one for single words over a uniform base, and above it one for each of the commonest context words (the
-word before; the text's end stands before its first word). A context serves the common words as dishes of their own and
-all other words as one dish, inside which words keep the shares that the parent gives them. Tables are seated by Gibbs
-sweeps over the dishes of every context, each given the parent's predictive probabilities; a context's tables are the
-parent's customers. The predictive probabilities of the kept sweeps are averaged.
-
-Counts cover the whole training corpus and are gathered by shuffles. What is broadcast is bounded by the two
-sizes of the model, `dishes` and `contexts`; words beyond the common ones are looked up by a join.
+The restaurants: one for single words over a uniform base, and above it one for every context word (the word before; the
+text's end stands before its first word), with every word that follows it as a dish. Tables are seated by Gibbs sweeps over
+the dishes of every context, each given the parent's predictive probabilities; a context's tables are the parent's
+customers. The predictive probabilities of the kept sweeps are averaged.
+
+The model is a table of `(context, word, count, tables)` that grows with the corpus; words are 64-bit hashes in it. Counts, sums of
+tables and prices come by groupBy and join. A dish with one customer has one table, so sweeps only visit the others.
+`train` is an older model of bounded size (`dishes`, `contexts`) that no query uses.
 """
 
 from __future__ import annotations
@@ -233,75 +233,106 @@ def train(counts: DataFrame, training: DataFrame, dishes: int, contexts: int, bu
     return model, {"n": rare_n, "lp": np.log10(np.maximum(rare_sum, 1e-300))}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+HOT = 1 << 16  # pairs that scoring looks up by a broadcast; it decides speed, no score depends on it
+
+def key():
+    return F.xxhash64("u", "w")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """Adds `h`: the hashes of the end, of the text's words, and of the end again (the tokens of `tokens`)."""
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    end = F.array(F.lit(END.decode()))
+    return docs.withColumn("h", F.transform(F.concat(end, words, end), lambda x: F.xxhash64(x)))
+
+
+def pairs_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """`(*keep, u, w)`: every token w of `hashed` rows and the one before it."""
+    n = F.size("h") - 1
+    return docs.select(*keep, F.inline(F.arrays_zip(F.slice("h", F.lit(1), n).alias("u"), F.slice("h", F.lit(2), n).alias("w"))).alias("u", "w"))
+
+
+def _seated(df: DataFrame, customers: str, discount: float, seed: int) -> DataFrame:
+    """`df` with `t`: tables of each row's dish, given `p` and `a`. Rows are in a fixed order, so that a run can be repeated."""
+    names = [c for c in df.columns if c not in ("p", "a")]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId(), i])
+            c, p, a = (batch.column(x).to_numpy() for x in (customers, "p", "a"))
+            t = seat(c.astype(np.int64), p, a, discount, rng) if len(c) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(t)], [*names, "t"])
+
+    return df.mapInArrow(run, schema + ", t double")
+
+
+def learn(pairs: DataFrame, burn: int, keep: int, strength: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """From `(u, w, n)`, the counts of all pairs: prices `(key, n, c, lp)` of these pairs, words `(w, c, p)`, contexts `(u, back)`,
+    and the figures `total`, `kinds` and `floor` (the probability of an unseen word). An unseen pair has probability back * p."""
+    one = F.count_if(F.col("n") == 1).alias("ones")
+    words = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), one, F.count("*").alias("kinds")))
+    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("total"), one))
+    total, kinds, w1, w2 = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("kinds") == 1), F.count_if(F.col("kinds") == 2)).first()
+    d1, d2 = discount_of(w1, w2), discount_of(*pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
+    uniform, floor_sum = 1 / (kinds + 1), 0.0
+    words = words.select("w", "c", "ones", F.lit(0.0).alias("p_sum"))
+    state = pairs.where("n > 1").select("u", "w", "n", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
+    for sweep in range(burn + keep):
+        kept = float(sweep >= burn)
+        up = state.groupBy("w").agg(F.sum("t").alias("up"))
+        served = words.join(up, "w", "left").select("w", "c", "ones", "p_sum", (F.col("ones") + F.coalesce("up", F.lit(0.0))).alias("c1"), F.lit(uniform).alias("p"), F.lit(strength + d1 * kinds).alias("a"))
+        served = written(_seated(served.sortWithinPartitions("w"), "c1", d1, 2 * sweep))
+        customers, tables = served.agg(F.coalesce(F.sum("c1"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+        floor = (strength + d1 * tables) * uniform / (strength + customers)
+        floor_sum += kept * floor
+        p = (F.col("c1") - d1 * F.col("t")) / (strength + customers) + floor
+        words = served.select("w", "c", "ones", p.alias("p"), (F.col("p_sum") + kept * p).alias("p_sum"))
+        seats = contexts.join(state.groupBy("u").agg(F.sum("t").alias("tables")), "u").select("u", (F.col("ones") + F.col("tables")).alias("tables"))
+        some = state.join(words.select("w", "p"), "w").join(seats, "u").select("u", "w", "n", "t_sum", "p", (strength + d2 * (F.col("tables") - F.col("t"))).alias("a"))
+        some = _seated(some.sortWithinPartitions("u", "w"), "n", d2, 2 * sweep + 1)
+        state = written(some.select("u", "w", "n", "t", (F.col("t_sum") + kept * F.col("t")).alias("t_sum")))
+    words = written(words.select("w", "c", (F.col("p_sum") / keep).alias("p")))
+    tables = state.groupBy("u").agg((F.sum("t_sum") / keep).alias("tables"))
+    back = (strength + d2 * (F.col("ones") + F.coalesce("tables", F.lit(0.0)))) / (strength + F.col("total"))
+    contexts = written(contexts.join(tables, "u", "left").select("u", "total", back.alias("back")))
+    dishes = pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t")).union(state.select("u", "w", "n", F.col("t_sum") / keep))
+    lp = F.log10((F.col("n") - d2 * F.col("t")) / (strength + F.col("total")) + F.col("back") * F.col("p")).cast("float")
+    prices = written(dishes.join(words, "w").join(contexts, "u").select(key().alias("key"), "n", "c", lp.alias("lp")))
+    return prices, words, contexts.select("u", "back"), {"total": int(total), "kinds": int(kinds), "floor": floor_sum / keep}
+
+
 def lm_scores(docs: DataFrame, held_out, dishes: int = 1 << 16, contexts: int = 128, burn: int = 1, keep: int = 3) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)` of every row's whole text.
 
     Tokens are words between ASCII white space with A-Z lower-cased, then one end. Learns from the rows that are not held out. base_score: the sum of
     log10((c + 1) / (N + V + 1)) with the training counts c, their sum N and their number V. score: the model's log10
-    probability of the text. dishes and contexts are the sizes of the model; burn and keep its Gibbs sweeps.
+    probability of the text, with all contexts and words of the training rows. burn and keep: the Gibbs sweeps. dishes and
+    contexts bound nothing any more; they are accepted for older callers.
     Null texts count as empty: one token. Repeated rows are each counted and returned; a null doc_id is not held out; other columns are dropped; no rows
     give no rows. If all rows are held out, every probability is that of the uniform base over one word.
     """
-    spark = docs.sparkSession
-    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
-    training = marked.where("NOT held_out")
-    counts = written(word_counts(training))
-    model, rare = train(counts, training, dishes, contexts, burn, keep)
-    shared, by_count = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(rare)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        contexts, other = len(m.lp) - 1, m.lp.shape[1] - 1
-        row = TaskContext.get().partitionId() << 33
-        for batch in small(batches):
-            texts = texts_of(batch)
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for lo in range(0, len(texts), 500):
-                rows, word, times, n, base, score = [], [], [], [], [], []
-                heads = []
-                for k in range(lo, min(lo + 500, len(texts))):
-                    t = tokens(texts[k])
-                    w = np.fromiter((m.ids.get(x, other) for x in t), np.int64, len(t))
-                    u = np.minimum(np.concatenate([[0], w[:-1]]), contexts)
-                    common = w < other
-                    rest = Counter(x for x, c in zip(t, common.tolist(), strict=True) if not c)
-                    heads.append(len(rows))
-                    rows += [row] * (1 + len(rest))
-                    word += [b" %d" % row, *rest]
-                    times += [0, *rest.values()]
-                    n += [int((m.counts[w[common]] > 0).sum())] + [None] * len(rest)
-                    base += [float(m.base[w[common]].sum())] + [None] * len(rest)
-                    score += [float(m.lp[u, w].sum(dtype=np.float64))] + [None] * len(rest)
-                    row += 1
-                size = len(rows)
-                doc, flag, length = [None] * size, [None] * size, [None] * size
-                for k, h in enumerate(heads):
-                    doc[h], flag[h], length[h] = ids[lo + k], held[lo + k], texts[lo + k]
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(rows, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "held_out": pa.array(flag, pa.bool_()), "word": pa.array(word, pa.binary()).cast(pa.string()), "times": pa.array(times, pa.int64()),
-                    "n_tokens": pa.array([None if x is None else len(x.encode().split()) + 1 for x in length], pa.int64()), "known": pa.array(n, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64()),
-                })
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, r = shared.value, by_count.value
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            keep = np.array([w.encode() not in m.ids for w in words], bool)
-            n = batch.column("n").to_numpy()[keep]
-            yield pa.RecordBatch.from_pydict({
-                "word": batch.column("word").filter(pa.array(keep)),
-                "w_base": pa.array(np.log10((n + 1) / (m.total + m.kinds + 1))),
-                "w_score": pa.array(r["lp"][np.minimum(np.searchsorted(r["n"], n), len(r["n"]) - 1)]),
-            })
-
-    rows = marked.mapInArrow(local, "row long, doc_id long, held_out boolean, word string, times long, n_tokens long, known long, base double, score double")
-    prices = counts.mapInArrow(priced, "word string, w_base double, w_score double")
-    times = F.col("times")
-    found = rows.join(prices, "word", "left").select(
-        "row", "doc_id", "held_out", "n_tokens",
-        (F.coalesce("known", F.lit(0)) + F.when(F.col("w_base").isNotNull(), times).otherwise(0)).alias("known"),
-        (F.coalesce("base", F.lit(0.0)) + times * F.coalesce("w_base", F.lit(model.unseen_base))).alias("base"),
-        (F.coalesce("score", F.lit(0.0)) + times * F.coalesce("w_score", F.lit(model.unseen))).alias("score"),
-    )
-    by_row = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return by_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out")).withColumn("row", F.monotonically_increasing_id())
+    texts = written(hashed(marked).drop("text"))  # written once: ids of rows are not the same in every plan
+    pairs = written(pairs_of(texts.where("NOT held_out")).groupBy("u", "w").agg(F.count("*").alias("n")))
+    prices, words, backs, figures = learn(pairs, burn, keep)
+    hot = F.broadcast(written(prices.orderBy(F.desc("n"), "key").limit(HOT)))
+    rest = lambda x: x.join(hot.select("key"), "key", "left_anti")
+
+    def summed(found: DataFrame) -> DataFrame:
+        known = F.count_if(F.col("c") > 0)
+        base = F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / (figures["total"] + figures["kinds"] + 1)))
+        return found.groupBy("row").agg(known.alias("known"), base.alias("base"), F.sum(F.col("lp").cast("double")).alias("score"))
+
+    common = pairs_of(texts, "row").select("row", key().alias("key")).join(hot, "key").select("row", "c", "lp")
+    learned = rest(pairs_of(texts.where("NOT held_out"), "row").select("row", key().alias("key"))).join(prices, "key").select("row", "c", "lp")
+    asked = written(rest(pairs_of(texts.where("held_out"), "row").withColumn("key", key())).join(prices, "key", "left").select("row", "u", "w", "c", "lp"))
+    lp = F.log10(F.coalesce("back", F.lit(1.0)) * F.coalesce("p", F.lit(figures["floor"]))).cast("float")
+    new = asked.where("lp IS NULL").select("row", "u", "w").join(words, "w", "left").join(backs, "u", "left").select("row", "c", lp.alias("lp"))
+    none = F.lit(None)
+    heads = texts.select("row", "doc_id", "held_out", (F.size("h") - 1).cast("long").alias("n_tokens"), none.cast("long").alias("known"), none.cast("double").alias("base"), none.cast("double").alias("score"))
+    for found in (common, learned, asked.where("lp IS NOT NULL").select("row", "c", "lp"), new):
+        heads = heads.union(summed(found).select("row", none.cast("long"), none.cast("boolean"), none.cast("long"), "known", "base", "score"))
+    by_row = heads.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return by_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(figures["total"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -74,3 +74,26 @@ def test_empty_and_all_held_out(spark):
     assert py.lm_scores(df.where(F.lit(False)), fold(2, 7), 50, 10).count() == 0
     out = py.lm_scores(df, F.lit(True), 50, 10).collect()
     assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in out)
+
+
+def whole_corpus():
+    """300 pairs of words that only occur together: far more contexts and words than the 10 and 50 of the bounded model."""
+    return [(100 + i, f"x{i % 300} y{i % 300}") for i in range(1500)]
+
+
+def test_rare_contexts_and_words_are_learned(spark):
+    rows = [*whole_corpus(), (1, "x299 y299"), (2, "x299 y298")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.score for r in py.lm_scores(df, F.col("doc_id") < 10, 50, 10).where("held_out").collect()}
+    assert out[1] > out[2] + 1
+
+
+def test_every_context_sums_to_one(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, word string, row int")
+    pairs = py.pairs_of(py.hashed(df)).groupBy("u", "w").agg(F.count("*").alias("n")).cache()
+    prices, words, backs, figures = py.learn(pairs, 1, 2)
+    assert pairs.agg(F.sum("n")).first()[0] == figures["total"] == sum(len(py.tokens(r[1] or "")) for r in corpus())
+    assert abs(words.agg(F.sum("p")).first()[0] + figures["floor"] - 1) < 1e-9
+    seen = prices.join(pairs.select(py.key().alias("key"), "u", "w"), "key").join(words, "w").groupBy("u").agg(F.sum(F.pow(F.lit(10.0), "lp")).alias("own"), F.sum("p").alias("p"))
+    off = seen.join(backs, "u").select(F.abs(F.col("own") + F.col("back") * (1 - F.col("p")) - 1).alias("off"))
+    assert off.count() == pairs.select("u").distinct().count() and off.agg(F.max("off")).first()[0] < 1e-5
