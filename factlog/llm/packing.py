@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlog.llm.ngram_join import ngram_join
 from factlog.session import partitions
 
 OUTPUT = "doc_id long, piece int, start long, n_words long, bin string, position int, room long"
@@ -51,12 +52,24 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     return out
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_rows: int = 2048, cluster: Column | None = None) -> DataFrame:
+def same_text() -> Column:
+    """Equal for texts that differ only in case and white space."""
+    return F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """`(cluster, component)` of the texts (`same_text`, hashed) that are near copies of others, as `ngram_join` has it. Texts stand in for
+    ids, so rows without an id and ids of several texts count as well."""
+    found = ngram_join(docs.select(F.xxhash64(same_text()).alias("doc_id"), "text")).where("component_id <> doc_id")
+    return found.groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("component"))
+
+
+def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_rows: int = 2048, cluster: Column | None = None, components: DataFrame | None = None) -> DataFrame:
     """Pack every row's whole text, measured in white-space separated words, into bins of `capacity` words.
 
     Longer texts are split into pieces: full pieces fill a bin each, the last one is packed. `cluster` says which
-    documents are copies of each other (default: equal texts but for case and white space); a bin never holds two
-    pieces of one cluster, and at most `per_source` of one source. Rows are dealt into shards of about `shard_rows` by a
+    documents are copies of each other (default: equal texts but for case and white space); `components` (`near_copies`)
+    joins clusters to larger ones; a bin never holds two pieces of one cluster, and at most `per_source` of one source. Rows are dealt into shards of about `shard_rows` by a
     hash of id and text, so a frequent source or a large cluster is spread over all of them, and every shard is packed
     by decreasing size. The number of shards follows the number of rows.
 
@@ -66,7 +79,7 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_r
     dropped; no rows give no rows.
     """
     if cluster is None:
-        cluster = F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))))
+        cluster = same_text()
     spark = docs.sparkSession
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     rows = docs.select(
@@ -76,6 +89,8 @@ def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_r
         words.cast("long").alias("n"),
         F.xxhash64("doc_id", "text").alias("h"),
     )
+    if components is not None:
+        rows = rows.join(components, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).select("doc_id", "source", "cluster", "n", "h")
     shards = max(1, -(-docs.count() // shard_rows))
     rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
     rows = rows.repartition(max(partitions(spark), min(shards, 20_000)), "shard").sortWithinPartitions("shard", "doc_id", "h")

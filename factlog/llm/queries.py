@@ -26,7 +26,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.best_fit(docs, components=packing.near_copies(docs))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factlog.llm import packing
+from factlog.llm import packing, queries
 
 
 def plain(sizes, sources, clusters, capacity, per_source):
@@ -67,3 +67,13 @@ def test_copies_never_share_a_bin(spark):
 def test_empty_documents_column_clash(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 1, "q", 5)], "doc_id long, text string, source string, n int, shard string, h int")
     assert [(r.doc_id, r.n_words) for r in packing.best_fit(docs).collect()] == [(1, 2)]
+
+
+def test_query_keeps_near_copies_apart(spark, tmp_path):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(i if i else None, " ".join([*words[: 20 + i], f"only{i}", *words[20 + i :]]), f"s{i}") for i in range(8)]
+    rows += [(8, " ".join(words).upper(), "s8"), (1, "another text of the same id", "s9")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op4_packing(spark, str(tmp_path)).collect()
+    assert len(out) == 10 and len({r.bin for r in out if r.n_words > 10}) == 9
+    assert next(r.bin for r in out if r.n_words == 6) in {r.bin for r in out if r.n_words > 10}
