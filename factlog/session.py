@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "factlog-"
+
 
 def local_session(cpus: int = 8, name: str = "factlog") -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -19,6 +21,7 @@ def local_session(cpus: int = 8, name: str = "factlog") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -26,12 +29,16 @@ def local_session(cpus: int = 8, name: str = "factlog") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. The cluster names it; a temporary one is set only where it doesn't (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, a temporary one serves a local master only."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that every executor sees")
+        named = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,12 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet (compressed) to the shared folder and read it back: the cut for wide intermediate tables."""
+    """Write `df` as Parquet (compressed) to the shared folder and read it back: the cut for wide intermediate tables. Plans on
+    top start from a scan, so they stay small however many rounds came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/factlog-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more. Only folders that `written` made are touched."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith(PREFIX):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

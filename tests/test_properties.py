@@ -1,5 +1,8 @@
 """Properties and golden cases that the SQL comparison doesn't cover."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,10 +133,31 @@ def test_an_empty_hierarchy_keeps_the_old(spark, tmp_path):
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 30 != 29] + [(300, 300), (None, 4)], "src long, dst long")
     out = {r.id: r.component for r in connected_components(e).collect()}
-    assert out[300] == 300 and all(out[i] == i // 30 * 30 for i in range(60))
+    assert out[300] == 300 and all(out[i] == i // 30 * 30 for i in range(60)) and len(out) == 61
     assert connected_components(e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
+def test_components_of_a_long_chain_beside_a_star(spark, order):
+    n = 10_000
+    ids = list(range(n))
+    if order == "descending":
+        ids.reverse()
+    elif order == "shuffled":
+        random.Random(3).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
+    star = spark.range(n + 1, n + 100_000).select(F.lit(n).cast("long").alias("src"), F.col("id").alias("dst"))
+    began = time.time()
+    found = connected_components(chain.union(star)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert {r.component: r.n for r in found} == {0: n, n: 100_000}
+    assert time.time() - began < 120
+
+
+def test_components_of_names(spark):
+    e = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y"), ("a", "b"), ("b", "a")], "src string, dst string")
+    assert {r.id: r.component for r in connected_components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
 def test_no_path(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("x", "y")], "src string, dst string")
     assert [r.id for r in graph.shortest_path(e, "a", "c").collect()] == ["a", "b", "c"]
