@@ -1,13 +1,15 @@
 """Personal data: exact patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The field is trained from a small labelled table. Its sequences are windows of words around those that hold a digit or
-an @, so texts without any cost one scan. Decoding is Viterbi over numpy batches of windows.
+an @ or spell an address out ("at", "dot"), so texts without any cost one scan. Decoding is Viterbi over numpy batches of
+windows; long windows are cut into overlapping stretches and batches are filled by words, so memory does not grow with a text's runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tags: O, then B- and I- of every kind.
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 SIDE = 2  # words on either side of one that holds a digit or an @
+RUN, OVERLAP = 64, 8  # longer runs of words are decoded in stretches of RUN, each with OVERLAP more words on either side
+CELLS = 16_384  # words, with padding, that are decoded at a time
 
 # The patterns are the contract's; possessive repeats and the look-behind only spare them quadratic time.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -69,13 +73,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the field ---
 
-_SIGNAL = re.compile(r"[0-9@]")
+_SIGNAL = re.compile(r"[0-9@]|\b(?:dot|DOT|Dot)\b|\b(?:at|AT)\b(?=\S{0,1}\s+\S+\s+\S?(?:dot|DOT)\b)")
 _WORD = re.compile(r"\S+")
 _GAP = re.compile(r"\s")
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end): every word with a digit or an @, and SIDE words on either side; touching runs are one."""
+    """Runs of words (start, end): every word with a digit or an @, or of a spelled-out address, and SIDE words on either side; touching
+    runs are one."""
     out: list[list[tuple[int, int]]] = []
     at = 0
     while m := _SIGNAL.search(text, at):
@@ -277,29 +282,50 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     """What the field finds beside the base spans: runs of tags that overlap none of them and pass the kind's own check."""
     runs = [(i, run) for i, text in enumerate(texts) for run in windows(text)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(runs)), key=lambda r: len(runs[r][1]))
-    for lo in range(0, len(order), 512):
-        some = [runs[r] for r in order[lo : lo + 512]]
-        for (i, run), path in zip(some, field.decode([[texts[i][a:b] for a, b in run] for i, run in some]), strict=True):
-            j = 0
-            while j < len(path):
-                if path[j] == 0:
-                    j += 1
-                    continue
-                k, kind = j + 1, TAGS[path[j]][2:]
-                while k < len(path) and TAGS[path[k]] == f"I-{kind}":
-                    k += 1
-                a, b = run[j][0], run[k - 1][1]
-                while b > a and texts[i][b - 1] in _EDGE:
-                    b -= 1
-                while a < b and texts[i][a] in "\"'[{<":
-                    a += 1
-                if b > a and plausible(kind, texts[i][a:b]) and not any(s < b and a < e for _, s, e in base[i]):
-                    out[i].append((KINDS.index(kind), a, b))
-                j = k
+    for (i, run), path in zip(runs, _paths(texts, runs, field), strict=True):
+        j = 0
+        while j < len(path):
+            if path[j] == 0:
+                j += 1
+                continue
+            k, kind = j + 1, TAGS[path[j]][2:]
+            while k < len(path) and TAGS[path[k]] == f"I-{kind}":
+                k += 1
+            a, b = run[j][0], run[k - 1][1]
+            while b > a and texts[i][b - 1] in _EDGE:
+                b -= 1
+            while a < b and texts[i][a] in "\"'[{<":
+                a += 1
+            if b > a and plausible(kind, texts[i][a:b]) and not touches(base[i], a, b):
+                out[i].append((KINDS.index(kind), a, b))
+            j = k
     return out
 
 
+def touches(spans: list[tuple[int, int, int]], a: int, b: int) -> bool:
+    """Whether a..b overlaps one of the spans, which are sorted by kind and start and disjoint within a kind."""
+    for k in range(len(KINDS)):
+        at = bisect_left(spans, (k, b, 0))
+        if at and spans[at - 1][0] == k and spans[at - 1][2] > a:
+            return True
+    return False
+
+
+def _paths(texts: list[str], runs: list[tuple[int, list[tuple[int, int]]]], field: Field) -> list[np.ndarray]:
+    """The tags of every run. A run of over RUN words is decoded in stretches; of a stretch's tags those between its overlaps count."""
+    stretches = [(r, lo, min(lo + RUN, len(run))) for r, (_, run) in enumerate(runs) for lo in range(0, len(run), RUN)]
+    stretches.sort(key=lambda x: x[2] - x[1])
+    paths = [np.zeros(len(run), np.int8) for _, run in runs]
+    step = max(1, CELLS // (RUN + 2 * OVERLAP))
+    for first in range(0, len(stretches), step):
+        some = stretches[first : first + step]
+        ends = [(max(0, lo - OVERLAP), min(len(runs[r][1]), hi + OVERLAP)) for r, lo, hi in some]
+        words = [[texts[runs[r][0]][a:b] for a, b in runs[r][1][x:y]] for (r, _, _), (x, y) in zip(some, ends, strict=True)]
+        for (r, lo, hi), (x, _), path in zip(some, ends, field.decode(words), strict=True):
+            paths[r][lo:hi] = path[lo - x : hi - x]
+    return paths
+
+
 def plausible(kind: str, match: str) -> bool:
     digits = _DIGITS.sub("", match)
     if kind == "email":

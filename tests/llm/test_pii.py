@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -58,9 +59,36 @@ def test_field_adds_and_leaves_alone():
     base = [pii.base_spans(t) for t in texts]
     got = [[(pii.KINDS[k], t[a:b]) for k, a, b in s] for t, s in zip(texts, pii.added_spans(texts, base, FIELD), strict=True)]
     assert got[0] == [("phone", "+1 (578) 555-6437"), ("card", "4918187128635271")]
+    assert got[1] == [("email", "ana (at) example (dot) org")]
     assert got[2] == [] and got[3] == []
 
 
+def test_spelled_out_addresses_are_found():
+    text = "we met at home. questions to lea at example dot org please, or at noon"
+    (found,) = pii.added_spans([text], [pii.base_spans(text)], FIELD)
+    assert [text[a:b] for _, a, b in found] == ["lea at example dot org"]
+
+
+def test_long_runs_are_decoded_as_a_whole_would_be(monkeypatch):
+    rng = np.random.default_rng(2)
+    some = ["call +1 (632) 555-4827 or", "card 4539 1488 0343 6467 was", "host 10.20.30.40 in", "12 of 1999", "4 8 15 16 23 42", "3.5 2021-03-04"]
+    text = " ".join(some[i] for i in rng.integers(0, len(some), 400))
+    base = [pii.base_spans(text)]
+    cut = pii.added_spans([text], base, FIELD)
+    monkeypatch.setattr(pii, "RUN", 1 << 20)
+    assert max(map(len, pii.windows(text))) > 1000 and cut == pii.added_spans([text], base, FIELD) and cut[0]
+
+
+def test_many_number_words_take_little_memory():
+    text = " ".join(map(str, range(200_000)))
+    tracemalloc.start()
+    base = [pii.base_spans(x) for x in (text, "nothing 1")]
+    pii.added_spans([text, "nothing 1"], base, FIELD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
 def test_query_form(spark):
     rows = [(1, "a@b.co and +1 (632) 555-4827", "x"), (1, "a@b.co and +1 (632) 555-4827", "x"), (None, None, "y"), (2, "", "z"), (3, "9" * 30000 + " 1.2.3.4", "spans"), (4, "4111 1111 1111 1111", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
