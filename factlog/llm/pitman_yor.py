@@ -1,33 +1,36 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of words.
 
 The restaurants: one for single words over a uniform base, and above it one for every context word (the word before; the
-text's end stands before its first word), with every word that follows it as a dish. Tables are seated by Gibbs sweeps over
-the dishes of every context, each given the parent's predictive probabilities; a context's tables are the parent's
-customers. The predictive probabilities of the kept sweeps are averaged.
+text's end stands before its first word), with every word that follows it as a dish. Restaurants of all contexts share the parent: a
+context's tables are the parent's customers. Tables are seated by Gibbs sweeps over the dishes of every context, each given the
+parent's predictive probabilities; the seatings of the kept sweeps are averaged. All contexts and words are learned.
 
-The model is a table of `(context, word, count, tables)` that grows with the corpus; words are 64-bit hashes in it. Counts, sums of
-tables and prices come by groupBy and join. A dish with one customer has one table, so sweeps only visit the others.
-`train` is an older model of bounded size (`dishes`, `contexts`) that no query uses.
+Texts become chunks: packed word hashes and the stream of their places. Pairs of words meet at the place of their hash, words at that
+of theirs, so a frequent word, context or pair is one entry for each chunk and place, whatever its share of the corpus. A dish with one
+customer has one table, so sweeps visit the others only. What a chunk asks for comes back in the order of its own lists.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import small, texts_of
-from factlog.llm.ngram_join import _by_key
-from factlog.session import partitions, written
+from factlog.llm.common import small, texts_of, whole_texts
+from factlog.llm.ngram_join import _P, WordHashes, mix
+from factlog.llm.packed import ROW, at_places, batch_of, expand, merged, row, squeeze, stretches
+from factlog.session import discard, partitions, written
 
 END = b" "  # the end of a text: no word holds white space
-BLOCK = 1024  # dishes that are counted together
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 20, 1 << 16
+EXACT = 256  # customers of a dish up to which its tables' distribution is tabulated
+BUCKET_TOKENS = 1 << 19  # tokens of the corpus for each place
+CHUNK = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, words binary, stream binary, tokens long"
+_U64, _I32, _F64, _I64 = np.uint64, np.int32, np.float64, np.int64
 
 
 def tokens(text: str) -> list[bytes]:
@@ -35,304 +38,415 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-def word_counts(training: DataFrame, room: int = 400_000) -> DataFrame:
-    """`(word, n)` over all training texts; each task sums what it has met before the shuffle."""
+def discount_of(ones: float, twos: float) -> float:
+    return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+
+
+@lru_cache(maxsize=8)
+def seatings(d: float) -> np.ndarray:
+    """The logarithm of the weight of all seatings of c customers at t tables, for c and t up to EXACT: generalised Stirling numbers."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for c in range(1, EXACT):
+        stay = out[c, 1:] + np.log(np.maximum(c - d * t, 1e-300))
+        out[c + 1, 1:] = np.logaddexp(stay, out[c, :-1])
+        out[c + 1, c + 2 :] = -np.inf
+    return out
+
+
+def _exact(c: int, p: np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes that have c customers each, drawn from their exact distribution by the uniform numbers u."""
+    fresh = np.cumsum(np.log(a[:, None] + d * np.arange(c)[None]), axis=1) + np.arange(1, c + 1)[None] * np.log(p)[:, None]
+    w = fresh + seatings(d)[c, 1 : c + 1][None]
+    w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+    return 1.0 + (w < u[:, None] * w[:, -1:]).sum(axis=1)
+
+
+def seat(c: np.ndarray, p: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with `c` customers each, base probabilities `p` and `a` = strength + discount * tables of other dishes.
+
+    Up to EXACT customers the tables are drawn from their exact distribution. Beyond, the weights of seatings follow, but for terms in
+    1 / EXACT, a pure birth process of rate d in the logarithm of the customers: so the tables of the first EXACT customers are
+    drawn with the base probability that the later ones leave, and the number of later tables is negative binomial.
+    """
+    p, a = np.asarray(p, float), np.broadcast_to(np.asarray(a, float), len(c))
+    left = np.maximum((c - 0.5) / (EXACT - 0.5), 1.0) ** -d
+    shrunk = p * left / (1 - p * (1 - left))
+    out, u, first = np.ones(len(c)), rng.random(len(c)), np.minimum(c, EXACT)
+    order = np.argsort(first, kind="stable")
+    for customers, lo, hi in stretches(first[order]):
+        if customers > 1:
+            step = max(1, (1 << 21) // customers)
+            for x in range(lo, hi, step):
+                at = order[x : min(hi, x + step)]
+                out[at] = _exact(customers, shrunk[at], a[at], d, u[at])
+    large = np.flatnonzero(c > EXACT)
+    if len(large):
+        later = rng.negative_binomial(a[large] / d + out[large], 1 - p[large] * (1 - left[large]))
+        out[large] = np.minimum(out[large] + later, c[large])
+    return out
+
+
+# --- chunks ---
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """Texts `(doc_id, text, held_out)` as chunks: their ids and sizes, the sorted hashes of their words, and every token's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        hashes = WordHashes()
+        ids, held, found = [], [], []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()).cast(pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            words, stream = np.unique(np.concatenate(found), return_inverse=True)
+            sizes = [len(x) for x in found]
+            return pa.RecordBatch.from_pydict({
+                "chunk": pa.array([0], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
+                "words": pa.array([squeeze(words)], pa.binary()), "stream": pa.array([squeeze(stream.astype(_I32))], pa.binary()), "tokens": pa.array([len(stream)], pa.int64()),
+            })
 
         for batch in small(batches):
-            for text in texts_of(batch):
-                seen.update(tokens(text))
-                if len(seen) >= room:
+            for doc_id, hold, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch), strict=True):
+                t = tokens(text)
+                ids.append(doc_id)
+                held.append(hold)
+                found.append(np.fromiter(map(hashes.__getitem__, t), _U64, len(t)))
+                size += len(t)
+                if size >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
                     yield out()
-                    seen.clear()
-        if seen:
+                    ids, held, found, size = [], [], [], 0
+        if ids:
             yield out()
 
-    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, CHUNK).withColumn("chunk", F.monotonically_increasing_id())
 
 
-def seat(c: np.ndarray, p: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, tries: int = 4) -> np.ndarray:
-    """Tables of dishes with `c` customers each, base probabilities `p` and `a` = strength + discount * tables of other dishes.
+class Chunk:
+    """A chunk's words and, for every token, its word; `paired`: also its distinct pairs in the order of their places, and every token's pair."""
 
-    Customers are seated one after another (in runs of a sixteenth of those seated, once there are many); of `tries`
-    seatings one is drawn in proportion to its weight, since a seating drawn in sequence ignores the later customers.
-    """
-    order = np.argsort(-c, kind="stable")
-    c, base = np.tile(c[order], (tries, 1)), np.tile((a * p)[order], (tries, 1))
-    t, z = np.ones(c.shape), np.zeros(c.shape)
-    i = 1
-    while m := int((c[0] > i).sum()):
-        run = np.minimum(max(1, i // 16), c[:, :m] - i)
-        total = base[:, :m] + i - d * t[:, :m]
-        z[:, :m] += run * np.log(total)
-        t[:, :m] += rng.binomial(run, np.clip(base[:, :m] / total, 0, 1))
-        i += max(1, i // 16)
-    w = np.exp(z - z.max(axis=0))
-    pick = (np.cumsum(w / w.sum(axis=0), axis=0) < rng.random(c.shape[1])).sum(axis=0)
-    out = np.empty(c.shape[1])
-    out[order] = t[np.minimum(pick, tries - 1), np.arange(c.shape[1])]
-    return np.minimum(out, c[0][np.argsort(order)])
-
-
-def _pair_counts(training: DataFrame, ids, contexts: int, dishes: int) -> DataFrame:
-    """`(u, at, n)`: for every context its dishes and their counts, packed. Dish `dishes` stands for all other words."""
-    blocks = -(-(dishes + 1) // BLOCK)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ids.value
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in small(batches):
-            texts = texts_of(batch)
-            for lo in range(0, len(texts), 500):
-                found = []
-                for text in texts[lo : lo + 500]:
-                    t = tokens(text)
-                    w = np.fromiter((known.get(x, dishes) for x in t), np.int64, len(t))
-                    u = np.concatenate([[0], w[:-1]])  # the end is dish 0
-                    ok = u < contexts
-                    found.append(u[ok] * (blocks * BLOCK) + w[ok])
-                c, n = np.unique(np.concatenate(found), return_counts=True)
-                codes, back = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-        if not len(codes):
-            return
-        key = codes // BLOCK
-        some, first = np.unique(key, return_index=True)
-        ends = [*first[1:], len(codes)]
-        yield pa.RecordBatch.from_pydict({
-            "key": pa.array(some),
-            "packed": pa.array([zlib.compress((codes[a:b] % BLOCK).astype("<u2").tobytes() + counts[a:b].astype("<i8").tobytes(), 1) for a, b in zip(first, ends, strict=True)], pa.binary()),
-        })
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "key"):
-            total = np.zeros(BLOCK, np.int64)
-            for raw in map(zlib.decompress, t.column("packed").to_pylist()):
-                k = len(raw) // 10
-                total[np.frombuffer(raw, "<u2", k)] += np.frombuffer(raw, "<i8", k, 2 * k)
-            some = np.flatnonzero(total)
-            key = t.column("key")[0].as_py()
-            yield pa.RecordBatch.from_pydict({"u": pa.array([key // blocks], pa.int64()), "packed": pa.array([zlib.compress((some + key % blocks * BLOCK).astype("<i4").tobytes() + total[some].astype("<i8").tobytes(), 1)], pa.binary())})
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "u"):
-            raws = [zlib.decompress(x) for x in t.column("packed").to_pylist()]
-            at = np.concatenate([np.frombuffer(r, "<i4", len(r) // 12) for r in raws])
-            n = np.concatenate([np.frombuffer(r, "<i8", len(r) // 12, len(r) // 12 * 4) for r in raws])
-            order = np.argsort(at)
-            yield pa.RecordBatch.from_pydict({"u": pa.array([t.column("u")[0].as_py()], pa.int64()), "at": pa.array([at[order].tobytes()], pa.binary()), "n": pa.array([n[order].tobytes()], pa.binary())})
-
-    k = partitions(training.sparkSession)
-    found = training.select("text").mapInArrow(count, "key long, packed binary")
-    summed = found.repartition(k, "key").sortWithinPartitions("key").mapInArrow(add, "u long, packed binary")
-    return summed.repartition(k, "u").sortWithinPartitions("u").mapInArrow(join, "u long, at binary, n binary")
-
-
-def _sweep(restaurants: DataFrame, parent, strength: float, discount: float, seed: int) -> DataFrame:
-    """One Gibbs sweep: `(u, at, n, t)` with new tables, given the parent's probabilities and the last sweep's tables."""
+    def __init__(self, held: list[bool], sizes: list[int], words: bytes, stream: bytes):
+        (self.words,), (self.stream,) = expand(words, _U64), expand(stream, _I32)
+        self.held, self.sizes = np.array(held, bool), np.array(sizes, _I64)
+        self.learned = np.repeat(~self.held, self.sizes)
+
+    def paired(self, places: int) -> Chunk:
+        end = np.searchsorted(self.words, _U64(WordHashes()[END]))
+        before = np.concatenate([[end], self.stream[:-1]]).astype(_I64)  # every text ends with the end
+        code, pair = np.unique(before * len(self.words) + self.stream, return_inverse=True)
+        self.u, self.w = code // len(self.words), code % len(self.words)
+        place = place_of(mix(self.words[self.u] * _P + self.words[self.w]), places)
+        order = np.argsort(place, kind="stable")
+        self.u, self.w, self.place = self.u[order], self.w[order], place[order]
+        rank = np.empty(len(order), _I64)
+        rank[order] = np.arange(len(order))
+        self.pair = rank[pair]
+        return self
+
+    def counts(self, which: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(which[self.learned], minlength=n).astype(_I32)
+
+
+def place_of(hashes: np.ndarray, places: int) -> np.ndarray:
+    """Places by the first 32 bits, so that sorted hashes have sorted places."""
+    return ((hashes >> _U64(32)) * _U64(places) >> _U64(32)).astype(_I64)
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The first 40 bits, by which pairs know their words."""
+    return hashes >> _U64(24)
 
+
+def by_word(kind: str, of: int, places: int, keys: np.ndarray, *numbers: np.ndarray, bits: int = 40) -> list[tuple]:
+    """Rows that take sorted keys and their numbers to the places of the words."""
+    full = keys << _U64(64 - bits)
+    return [row(kind, p, of, squeeze(keys[a:b], *(n[a:b] for n in numbers))) for p, a, b in stretches(place_of(full, places))]
+
+
+def summed_by(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    some, back = np.unique(keys, return_inverse=True)
+    return some, *(np.bincount(back, n, len(some)).astype(_I32) for n in numbers)
+
+
+def _of_chunks(chunks: DataFrame, each) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for u, at, n, t in zip(*(batch.column(c).to_pylist() for c in ("u", "at", "n", "t")), strict=True):
-                rng = np.random.default_rng([seed, u])
-                c, p = np.frombuffer(n, np.int64), parent.value[np.frombuffer(at, np.int32)]
-                old = np.frombuffer(t, np.float64) if t else seat(c, p, np.full(len(c), strength + discount * len(c)), discount, rng, 1)
-                out.append(seat(c, p, strength + discount * (old.sum() - old), discount, rng).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "at", "n")), pa.array(out, pa.binary())], ["u", "at", "n", "t"])
+            for name, held, sizes, words, stream in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held", "sizes", "words", "stream")), strict=True):
+                if rows := each(name, Chunk(held, sizes, words, stream)):
+                    yield batch_of(rows)
 
-    return restaurants.mapInArrow(run, "u long, at binary, n binary, t binary")
+    return chunks.select("chunk", "held", "sizes", "words", "stream").mapInArrow(run, ROW)
 
 
-def discount_of(ones: float, twos: float) -> float:
-    return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+# --- learning ---
 
 
-class Model:
-    """What scoring needs: per context and dish the averaged log10 probabilities, and the parent's by count."""
-
-    def __init__(self, ids: dict[bytes, int], counts: np.ndarray, total: int, kinds: int):
-        self.ids, self.counts, self.total, self.kinds = ids, counts, total, kinds
-        self.base = np.log10((counts + 1) / (total + kinds + 1))
-        self.unseen_base = float(np.log10(1 / (total + kinds + 1)))
-
-
-def train(counts: DataFrame, training: DataFrame, dishes: int, contexts: int, burn: int, keep: int) -> tuple[Model, dict]:
-    """The model, and for the rare words a function of the count: `{"n": counts, "lp": log10 probabilities}`."""
-    spark = counts.sparkSession
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END.decode()).orderBy(F.desc("n"), "word").limit(dishes - 1).collect()
-    ends = counts.where(F.col("word") == END.decode()).collect()
-    words = [END, *(r["word"].encode() for r in top)]
-    n = np.array([ends[0]["n"] if ends else 0, *(r["n"] for r in top)], np.int64)
-    ids = {w: i for i, w in enumerate(words)}
-    histogram = Counter({r["n"]: r["k"] for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()})  # as long as there are different counts
-    d1 = discount_of(histogram[1], histogram[2])
-    for x in n[n > 0].tolist():
-        histogram[x] -= 1
-    rare_n = np.array(sorted(x for x, k in histogram.items() if k > 0) or [0], np.int64)
-    rare_k = np.array([histogram.get(int(x), 0) for x in rare_n], np.int64)
-    dishes, contexts = len(words), min(contexts, len(words))
-    strength1 = strength2 = 1.0
-    uniform = 1 / (kinds + 1)
-    shared_ids = spark.sparkContext.broadcast(ids)
-    restaurants = written(_pair_counts(training, shared_ids, contexts, dishes)).withColumn("t", F.lit(None).cast("binary"))
-    small = restaurants.select("u", "at", "n").collect()  # at most contexts * (dishes + 1) numbers
-    at = {r["u"]: np.frombuffer(r["at"], np.int32) for r in small}
-    held = {r["u"]: np.frombuffer(r["n"], np.int64) for r in small}
-    ones, twos = (sum(int((c == k).sum()) for c in held.values()) for k in (1, 2))
-    d2 = discount_of(ones, twos)
-    inside = np.zeros(dishes + 1, np.int64)
-    for u, c in held.items():
-        inside[at[u]] += c
-    direct = np.maximum(n - inside[:dishes], 0)
-    rng = np.random.default_rng(11)
-    tables_up = np.zeros(dishes)
-    shares = {u: np.zeros(len(c)) for u, c in held.items()}
-    back, parent_sum, rare_sum, unseen_sum = {u: 0.0 for u in held}, np.zeros(dishes + 1), np.zeros(len(rare_n)), 0.0
-    for sweep in range(burn + keep):
-        c1 = np.where(n > 0, np.maximum(direct + tables_up, 1), 0).astype(np.int64)
-        some = c1 > 0
-        guess = d1 * (some.sum() + rare_k.sum())
-        t1 = np.zeros(dishes)
-        t1[some] = seat(c1[some], np.full(some.sum(), uniform), np.full(some.sum(), strength1 + guess), d1, rng)
-        rare_t = seat(np.maximum(rare_n, 1), np.full(len(rare_n), uniform), np.full(len(rare_n), strength1 + guess), d1, rng) * (rare_n > 0)
-        tables, customers = t1.sum() + rare_t @ rare_k, c1.sum() + rare_n @ rare_k
-        over = strength1 + customers
-        floor = (strength1 + d1 * tables) * uniform / over
-        p = (c1 - d1 * t1) / over + floor
-        rare_p = (rare_n - d1 * rare_t) / over + floor
-        parent = np.append(p, rare_p @ rare_k + floor)  # the last: all rare words and one unseen
-        restaurants = written(_sweep(restaurants, spark.sparkContext.broadcast(parent), strength2, d2, sweep))
-        seats = {r["u"]: np.frombuffer(r["t"], np.float64) for r in restaurants.select("u", "t").collect()}
-        tables_up = np.zeros(dishes + 1)
-        for u, t in seats.items():
-            tables_up[at[u]] += t
-        tables_up = tables_up[:dishes]
-        if sweep >= burn:
-            for u, t in seats.items():
-                all_u = strength2 + held[u].sum()
-                shares[u] += (held[u] - d2 * t) / all_u / keep
-                back[u] += (strength2 + d2 * t.sum()) / all_u / keep
-            parent_sum += parent / keep
-            rare_sum += rare_p / keep
-            unseen_sum += floor / keep
-    model = Model(ids, n, int(total), int(kinds))
-    grid = np.tile(parent_sum, (contexts + 1, 1))  # the last row: no context
-    for u in held:
-        grid[u] *= back[u]
-        grid[u, at[u]] += shares[u]
-    model.lp = np.log10(grid).astype(np.float32)
-    model.lp[:, dishes] -= np.float32(np.log10(parent_sum[dishes]))  # a rare word's own share is joined later
-    model.unseen = float(np.log10(unseen_sum))
-    return model, {"n": rare_n, "lp": np.log10(np.maximum(rare_sum, 1e-300))}
-
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT = 1 << 16  # pairs that scoring looks up by a broadcast; it decides speed, no score depends on it
-
-def key():
-    return F.xxhash64("u", "w")
-
-
-def hashed(docs: DataFrame) -> DataFrame:
-    """Adds `h`: the hashes of the end, of the text's words, and of the end again (the tokens of `tokens`)."""
-    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    end = F.array(F.lit(END.decode()))
-    return docs.withColumn("h", F.transform(F.concat(end, words, end), lambda x: F.xxhash64(x)))
-
-
-def pairs_of(docs: DataFrame, *keep: str) -> DataFrame:
-    """`(*keep, u, w)`: every token w of `hashed` rows and the one before it."""
-    n = F.size("h") - 1
-    return docs.select(*keep, F.inline(F.arrays_zip(F.slice("h", F.lit(1), n).alias("u"), F.slice("h", F.lit(2), n).alias("w"))).alias("u", "w"))
-
-
-def _seated(df: DataFrame, customers: str, discount: float, seed: int) -> DataFrame:
-    """`df` with `t`: tables of each row's dish, given `p` and `a`. Rows are in a fixed order, so that a run can be repeated."""
-    names = [c for c in df.columns if c not in ("p", "a")]
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+def pair_lists(chunks: DataFrame, places: int) -> DataFrame:
+    """Every chunk's distinct pairs, with their counts in its training texts, to the places of the pairs."""
+
+    def each(name: int, c: Chunk) -> list[tuple]:
+        c.paired(places)
+        u, w, n = short(c.words)[c.u], short(c.words)[c.w], c.counts(c.pair, len(c.u))
+        return [row("pairs", p, name, squeeze(u[a:b], w[a:b].view(_I64), n[a:b])) for p, a, b in stretches(c.place)]
+
+    return _of_chunks(chunks, each)
+
+
+def word_lists(chunks: DataFrame, places: int) -> DataFrame:
+    """Every chunk's words, with their counts in its training texts, to the places of the words."""
+    return _of_chunks(chunks, lambda name, c: by_word("words", name, places, c.words, c.counts(c.stream, len(c.words)), bits=64))
+
+
+def count_pairs(lists: DataFrame, tasks: int, places: int) -> DataFrame:
+    """At every place: `state`, the dishes with more than one customer and their tables; `links`, for each chunk's pairs 0 (never seen), 1
+    (seen once) or 2 + the number in `state`; and to the words: how many dishes, and how many with one customer, they have as
+    contexts (`u`) and in how many contexts they are dishes (`w`). a, b of `state`: pairs seen once and twice."""
+
+    def each(place: int, held) -> list[tuple]:
+        parts = [(of, *expand(x, _U64, _I64, _I32)) for of, x in held["pairs"]]
+        u, w, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order].view(_U64), n[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        which = np.cumsum(new) - 1
+        total = np.bincount(which, n).astype(_I64)
+        first = np.flatnonzero(new)
+        u, w = u[first], w[first]
+        many, known = total > 1, total > 0
+        code = np.where(many, np.cumsum(many) + 1, known).astype(_I32)
+        back = np.empty(len(order), _I32)
+        back[order] = code[which]
+        ends = np.cumsum([len(p[1]) for p in parts])
+        out = [row("links", place, p[0], squeeze(back[e - len(p[1]) : e])) for p, e in zip(parts, ends, strict=True)]
+        one = (total == 1).astype(_I32)
+        for kind, keys in (("u", u), ("w", w)):
+            out += by_word(kind, place, places, *summed_by(keys[known], known[known], one[known]))
+        out.append(row("state", place, place, squeeze(u[many], w[many].view(_I64), total[many], np.ones(many.sum()), np.zeros(many.sum(), _I64)), float(one.sum()), float((total == 2).sum())))
+        return out
+
+    return at_places(lists, tasks, each)
+
+
+_STATE = (_U64, _I64, _I64, _F64, _I64)  # u, w, customers, tables, sum of tables over the kept sweeps
+_WORD = (_U64, _I64, _I64, _I64, _F64, _F64)  # hash, count, dishes and contexts with one customer, current share, weighted sum of probabilities
+
+
+def count_words(rows: DataFrame, tasks: int) -> DataFrame:
+    """`word` rows: at every place its training words. a, b: words in one and in two contexts; the sums `total` and `kinds` in `totals` rows."""
+
+    def each(place: int, held) -> list[tuple]:
+        keys, (n,), _ = merged([tuple(expand(x, _U64, _I32)) for _, x in held.get("words", [])] or [(np.zeros(0, _U64), np.zeros(0, _I32))])
+        keys, n = keys[n > 0], n[n > 0].astype(_I64)
+        ones = {}
+        kinds = np.zeros(len(keys))
+        for kind in ("u", "w"):
+            ones[kind] = np.zeros(len(keys), _I64)
+            if len(keys) and held.get(kind):
+                some, (all_, one), _ = merged([tuple(expand(x, _U64, _I32, _I32)) for _, x in held[kind]])
+                at = find(short(keys), some)
+                ones[kind][at] = one
+                if kind == "w":
+                    kinds[at] = all_
+        zero = np.zeros(len(keys))
+        return [
+            row("word", place, place, squeeze(keys, n, ones["u"], ones["w"], zero, zero), float((kinds == 1).sum()), float((kinds == 2).sum())),
+            row("totals", place, place, b"", float(n.sum()), float(len(keys))),
+        ]
+
+    return at_places(rows, tasks, each)
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys stand in the sorted keys, which hold them all."""
+    return np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+
+
+def customers_up(state: DataFrame, places: int, kept: bool = False) -> DataFrame:
+    """The tables of every place's dishes, summed by context (`u`) and by word (`w`), to the places of the words. kept: the tables of all
+    kept sweeps, by context alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, batch in enumerate(batches):
-            rng = np.random.default_rng([seed, TaskContext.get().partitionId(), i])
-            c, p, a = (batch.column(x).to_numpy() for x in (customers, "p", "a"))
-            t = seat(c.astype(np.int64), p, a, discount, rng) if len(c) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(t)], [*names, "t"])
-
-    return df.mapInArrow(run, schema + ", t double")
-
-
-def learn(pairs: DataFrame, burn: int, keep: int, strength: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """From `(u, w, n)`, the counts of all pairs: prices `(key, n, c, lp)` of these pairs, words `(w, c, p)`, contexts `(u, back)`,
-    and the figures `total`, `kinds` and `floor` (the probability of an unseen word). An unseen pair has probability back * p."""
-    one = F.count_if(F.col("n") == 1).alias("ones")
-    words = written(pairs.groupBy("w").agg(F.sum("n").alias("c"), one, F.count("*").alias("kinds")))
-    contexts = written(pairs.groupBy("u").agg(F.sum("n").alias("total"), one))
-    total, kinds, w1, w2 = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("kinds") == 1), F.count_if(F.col("kinds") == 2)).first()
-    d1, d2 = discount_of(w1, w2), discount_of(*pairs.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
-    uniform, floor_sum = 1 / (kinds + 1), 0.0
-    words = words.select("w", "c", "ones", F.lit(0.0).alias("p_sum"))
-    state = pairs.where("n > 1").select("u", "w", "n", F.lit(1.0).alias("t"), F.lit(0.0).alias("t_sum"))
+        for batch in batches:
+            for place, x in zip(batch.column("place").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                u, w, _, t, sums = expand(x, *_STATE)
+                out = by_word("u", place, places, *summed_by(u, sums if kept else t))
+                out += [] if kept else by_word("w", place, places, *summed_by(w.view(_U64), t))
+                if out:
+                    yield batch_of(out)
+
+    return state.mapInArrow(run, ROW)
+
+
+def sweep_words(rows: DataFrame, tasks: int, d: float, a: float, base: float, seed: int, last: tuple[float, float, float]) -> DataFrame:
+    """The parent's part of a sweep: tables of every word given its customers. Answers the places that asked: the tables of their
+    contexts (`U`), and their words' shares before scaling (`W`). last: weight, scale and floor of the sweep before, whose shares are
+    added to the sums now. a, b of `word`: the place's customers and tables."""
+    weight, scale, floor = last
+
+    def each(place: int, held) -> list[tuple]:
+        (_, raw), out = held["word"][0], []
+        keys, n, ones_u, ones_w, share, sums = expand(raw, *_WORD)
+        sums = sums + weight * (share * scale + floor)
+        cut = short(keys)
+        up, tables = np.zeros(len(keys), _I64), ones_u.copy()
+        asked = {}
+        for kind in ("u", "w"):
+            asked[kind] = (np.zeros(0, _I64), [])
+            if held.get(kind):
+                some, (t,), each_at = merged([tuple(expand(x, _U64, _I32)) for _, x in held[kind]])
+                at = find(cut, some)
+                asked[kind] = (at, each_at)
+                (tables if kind == "u" else up)[at] += t.astype(_I64)
+        c = ones_w + up
+        rng = np.random.default_rng([seed, place])
+        t = seat(c, np.full(len(c), base), np.full(len(c), a), d, rng) if len(c) else np.zeros(0)
+        share = c - d * t
+        out.append(row("word", place, place, squeeze(keys, n, ones_u, ones_w, share, sums), float(c.sum()), float(t.sum())))
+        for kind, values in (("u", tables.astype(_I32)), ("w", share.astype(np.float32))):
+            at, each_at = asked[kind]
+            out += [row(kind.upper(), of, place, squeeze(values[at[i]])) for (of, _), i in zip(held.get(kind, []), each_at, strict=True)]
+        return out
+
+    return at_places(rows, tasks, each)
+
+
+def sweep_pairs(rows: DataFrame, tasks: int, d: float, strength: float, scale: float, floor: float, seed: int, kept: int) -> DataFrame:
+    """The contexts' part of a sweep: new tables of every dish, given the parent's probabilities and the last tables of its restaurant."""
+
+    def each(place: int, held) -> list[tuple]:
+        if not held.get("state"):
+            return []
+        u, w, n, t, sums = expand(held["state"][0][1], *_STATE)
+        if len(u):
+            tables = np.concatenate([expand(x, _I32)[0] for _, x in held["U"]])[np.unique(u, return_inverse=True)[1]]
+            share = np.concatenate([expand(x, np.float32)[0] for _, x in held["W"]])[np.unique(w.view(_U64), return_inverse=True)[1]]
+            t = seat(n, share.astype(_F64) * scale + floor, strength + d * (tables - t), d, np.random.default_rng([seed, place]))
+        return [row("state", place, place, squeeze(u, w, n, t, sums + kept * t.astype(_I64)))]
+
+    return at_places(rows, tasks, each)
+
+
+def learn(chunks: DataFrame, places: int, burn: int, keep: int, strength: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """The model: dishes `state` and `links`, `words`, and the figures that every score needs."""
+    tasks = tasks_of(chunks, places)
+    counted = written(count_pairs(pair_lists(chunks, places), tasks, places))
+    links, state = counted.where("kind = 'links'"), counted.where("kind = 'state'")
+    old = written(count_words(word_lists(chunks, places).union(counted.where("kind IN ('u', 'w')")), tasks))
+    words = old.where("kind = 'word'")
+    sums = lambda df: df.agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
+    (total, kinds), d1, d2 = sums(old.where("kind = 'totals'")), discount_of(*sums(words)), discount_of(*sums(state))
+    base, last, floors = 1 / (kinds + 1), (0.0, 0.0, 0.0), 0.0
     for sweep in range(burn + keep):
-        kept = float(sweep >= burn)
-        up = state.groupBy("w").agg(F.sum("t").alias("up"))
-        served = words.join(up, "w", "left").select("w", "c", "ones", "p_sum", (F.col("ones") + F.coalesce("up", F.lit(0.0))).alias("c1"), F.lit(uniform).alias("p"), F.lit(strength + d1 * kinds).alias("a"))
-        served = written(_seated(served.sortWithinPartitions("w"), "c1", d1, 2 * sweep))
-        customers, tables = served.agg(F.coalesce(F.sum("c1"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
-        floor = (strength + d1 * tables) * uniform / (strength + customers)
-        floor_sum += kept * floor
-        p = (F.col("c1") - d1 * F.col("t")) / (strength + customers) + floor
-        words = served.select("w", "c", "ones", p.alias("p"), (F.col("p_sum") + kept * p).alias("p_sum"))
-        seats = contexts.join(state.groupBy("u").agg(F.sum("t").alias("tables")), "u").select("u", (F.col("ones") + F.col("tables")).alias("tables"))
-        some = state.join(words.select("w", "p"), "w").join(seats, "u").select("u", "w", "n", "t_sum", "p", (strength + d2 * (F.col("tables") - F.col("t"))).alias("a"))
-        some = _seated(some.sortWithinPartitions("u", "w"), "n", d2, 2 * sweep + 1)
-        state = written(some.select("u", "w", "n", "t", (F.col("t_sum") + kept * F.col("t")).alias("t_sum")))
-    words = written(words.select("w", "c", (F.col("p_sum") / keep).alias("p")))
-    tables = state.groupBy("u").agg((F.sum("t_sum") / keep).alias("tables"))
-    back = (strength + d2 * (F.col("ones") + F.coalesce("tables", F.lit(0.0)))) / (strength + F.col("total"))
-    contexts = written(contexts.join(tables, "u", "left").select("u", "total", back.alias("back")))
-    dishes = pairs.where("n = 1").select("u", "w", "n", F.lit(1.0).alias("t")).union(state.select("u", "w", "n", F.col("t_sum") / keep))
-    lp = F.log10((F.col("n") - d2 * F.col("t")) / (strength + F.col("total")) + F.col("back") * F.col("p")).cast("float")
-    prices = written(dishes.join(words, "w").join(contexts, "u").select(key().alias("key"), "n", "c", lp.alias("lp")))
-    return prices, words, contexts.select("u", "back"), {"total": int(total), "kinds": int(kinds), "floor": floor_sum / keep}
-
-
-def lm_scores(docs: DataFrame, held_out, dishes: int = 1 << 16, contexts: int = 128, burn: int = 1, keep: int = 3) -> DataFrame:
+        kept = int(sweep >= burn)
+        seated = written(sweep_words(customers_up(state, places).union(words), tasks, d1, strength + d1 * kinds, base, 2 * sweep, last))
+        discard(old)
+        old, words = seated, seated.where("kind = 'word'")
+        customers, tables = sums(words)
+        scale, floor = 1 / (strength + customers), (strength + d1 * tables) * base / (strength + customers)
+        last = (kept / keep, scale, floor)
+        floors += kept * floor / keep
+        new = written(sweep_pairs(seated.where("kind IN ('U', 'W')").union(state), tasks, d2, strength, scale, floor, 2 * sweep + 1, kept))
+        if sweep:
+            discard(state)
+        state = new
+    figures = {"total": int(total), "kinds": int(kinds), "floor": floors, "d": d2, "strength": strength, "last": last, "keep": keep}
+    return links, state, words, figures
+
+
+def tasks_of(chunks: DataFrame, places: int) -> int:
+    """Places are worked off one by one, so a task may have several."""
+    return max(partitions(chunks.sparkSession), places // 16)
+
+
+# --- scoring ---
+
+
+def answered(links: DataFrame, state: DataFrame, words: DataFrame, chunks: DataFrame, places: int, figures: dict) -> DataFrame:
+    """To every chunk: `pairs`, the customers and summed tables of its pairs, and `words`, the counts, shares and summed tables of its words."""
+    tasks = tasks_of(chunks, places)
+    weight, scale, floor = figures["last"]
+
+    def of_pairs(place: int, held) -> list[tuple]:
+        _, _, n, _, t = expand(held["state"][0][1], *_STATE)
+        n, t = np.concatenate([[0, 1], n]), np.concatenate([[0, figures["keep"]], t])
+        return [row("pairs", of, place, squeeze(n[i], t[i])) for of, x in held.get("links", []) for i in expand(x, _I32)]
+
+    def of_words(place: int, held) -> list[tuple]:
+        keys, c, ones, _, share, sums = expand(held["word"][0][1], *_WORD)
+        tables = figures["keep"] * ones
+        if held.get("u"):
+            some, (t,), _ = merged([tuple(expand(x, _U64, _I32)) for _, x in held["u"]])
+            tables[find(short(keys), some)] += t.astype(_I64)
+        keys, c, tables = np.append(keys, _U64(0)), np.append(c, 0), np.append(tables, 0)
+        p = np.append(sums + weight * (share * scale + floor), figures["floor"])
+        out = []
+        for of, x in held.get("ask", []):
+            want = expand(x, _U64)[0]
+            at = np.minimum(np.searchsorted(keys[:-1], want), len(keys) - 1)
+            at = np.where(keys[at] == want, at, len(keys) - 1)
+            out.append(row("words", of, place, squeeze(c[at], p[at], tables[at])))
+        return out
+
+    asks = _of_chunks(chunks, lambda name, c: by_word("ask", name, places, c.words, bits=64))
+    return at_places(links.union(state), tasks, of_pairs).union(at_places(asks.union(words).union(customers_up(state, places, kept=True)), tasks, of_words))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def scores_of(chunks: DataFrame, answers: DataFrame, places: int, figures: dict) -> DataFrame:
+    spark = chunks.sparkSession
+    none = F.lit(None)
+    own = chunks.select("chunk", none.cast("string").alias("kind"), none.cast("long").alias("of"), none.cast("binary").alias("x"), "ids", "held", "sizes", "words", "stream")
+    rest = answers.select(F.col("place").alias("chunk"), "kind", "of", "x", *[none.cast(own.schema[c].dataType).alias(c) for c in ("ids", "held", "sizes", "words", "stream")])
+
+    def score(mine: dict, got: dict[str, list[tuple[int, bytes]]]) -> pa.RecordBatch:
+        c = Chunk(mine["held"], mine["sizes"], mine["words"], mine["stream"]).paired(places)
+        n, t = (np.concatenate(x) for x in zip(*(expand(x, _I64, _I64) for _, x in sorted(got["pairs"])), strict=True))
+        count, p, tables = (np.concatenate(x) for x in zip(*(expand(x, _I64, _F64, _I64) for _, x in sorted(got["words"])), strict=True))
+        keep, d, strength = figures["keep"], figures["d"], figures["strength"]
+        guests = strength + count[c.u]
+        lp = np.log10(np.maximum(n - d * t / keep, 0) / guests + (strength + d * tables[c.u] / keep) / guests * p[c.w])
+        base = np.log10((count + 1) / (figures["total"] + figures["kinds"] + 1))
+        starts = np.cumsum(c.sizes) - c.sizes
+        of_docs = lambda x: np.add.reduceat(x, starts)
+        total = of_docs(lp[c.pair])
+        return pa.RecordBatch.from_arrays([
+            pa.array(mine["ids"], pa.int64()), pa.array(c.held), pa.array(c.sizes), pa.array(of_docs((count > 0).astype(_I64)[c.stream])), pa.array(np.full(len(c.sizes), figures["total"], _I64)),
+            pa.array(of_docs(base[c.stream])), pa.array(total), pa.array(10 ** np.minimum(-total / c.sizes, 300)),
+        ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, got = None, None, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["chunk"] != now:
+                    if mine:
+                        yield score(mine, got)
+                    now, mine, got = r["chunk"], None, {}
+                if r["kind"] is None:
+                    mine = r
+                else:
+                    got.setdefault(r["kind"], []).append((r["of"], r["x"]))
+        if mine:
+            yield score(mine, got)
+
+    return own.union(rest).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(run, SCORES)
+
+
+def lm_scores(docs: DataFrame, held_out, burn: int = 1, keep: int = 3) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)` of every row's whole text.
 
     Tokens are words between ASCII white space with A-Z lower-cased, then one end. Learns from the rows that are not held out. base_score: the sum of
     log10((c + 1) / (N + V + 1)) with the training counts c, their sum N and their number V. score: the model's log10
-    probability of the text, with all contexts and words of the training rows. burn and keep: the Gibbs sweeps. dishes and
-    contexts bound nothing any more; they are accepted for older callers.
+    probability of the text, with all contexts and words of the training rows. burn and keep: the Gibbs sweeps.
     Null texts count as empty: one token. Repeated rows are each counted and returned; a null doc_id is not held out; other columns are dropped; no rows
-    give no rows. If all rows are held out, every probability is that of the uniform base over one word.
+    give no rows. If all rows are held out, every probability is that of the uniform base over one word. A very long text is a chunk of its own.
     """
-    marked = docs.select("doc_id", "text", held_out.alias("held_out")).withColumn("row", F.monotonically_increasing_id())
-    texts = written(hashed(marked).drop("text"))  # written once: ids of rows are not the same in every plan
-    pairs = written(pairs_of(texts.where("NOT held_out")).groupBy("u", "w").agg(F.count("*").alias("n")))
-    prices, words, backs, figures = learn(pairs, burn, keep)
-    hot = F.broadcast(written(prices.orderBy(F.desc("n"), "key").limit(HOT)))
-    rest = lambda x: x.join(hot.select("key"), "key", "left_anti")
-
-    def summed(found: DataFrame) -> DataFrame:
-        known = F.count_if(F.col("c") > 0)
-        base = F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / (figures["total"] + figures["kinds"] + 1)))
-        return found.groupBy("row").agg(known.alias("known"), base.alias("base"), F.sum(F.col("lp").cast("double")).alias("score"))
-
-    common = pairs_of(texts, "row").select("row", key().alias("key")).join(hot, "key").select("row", "c", "lp")
-    learned = rest(pairs_of(texts.where("NOT held_out"), "row").select("row", key().alias("key"))).join(prices, "key").select("row", "c", "lp")
-    asked = written(rest(pairs_of(texts.where("held_out"), "row").withColumn("key", key())).join(prices, "key", "left").select("row", "u", "w", "c", "lp"))
-    lp = F.log10(F.coalesce("back", F.lit(1.0)) * F.coalesce("p", F.lit(figures["floor"]))).cast("float")
-    new = asked.where("lp IS NULL").select("row", "u", "w").join(words, "w", "left").join(backs, "u", "left").select("row", "c", lp.alias("lp"))
-    none = F.lit(None)
-    heads = texts.select("row", "doc_id", "held_out", (F.size("h") - 1).cast("long").alias("n_tokens"), none.cast("long").alias("known"), none.cast("double").alias("base"), none.cast("double").alias("score"))
-    for found in (common, learned, asked.where("lp IS NOT NULL").select("row", "c", "lp"), new):
-        heads = heads.union(summed(found).select("row", none.cast("long"), none.cast("boolean"), none.cast("long"), "known", "base", "score"))
-    by_row = heads.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return by_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(figures["total"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    whole_texts(docs.sparkSession)
+    chunks = written(chunks_of(docs.select("doc_id", "text", held_out.alias("held_out"))))
+    n = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    places = max(64, -(-n // BUCKET_TOKENS))
+    links, state, words, figures = learn(chunks, places, burn, keep)
+    return scores_of(chunks, answered(links, state, words, chunks, places, figures), places, figures)
