@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 PREFIX = "factlog-"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int = 8, name: str = "factlog") -> SparkSession:
@@ -52,7 +53,12 @@ def written(df: DataFrame) -> DataFrame:
     top start from a scan, so they stay small however many rounds came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once the table is there, nothing reads the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
