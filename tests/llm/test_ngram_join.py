@@ -87,14 +87,26 @@ def test_empty(spark):
     assert nj.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_overlaps():
+@pytest.mark.parametrize("spread", [0.02, 0.1, 0.4])
+def test_derived_answers_equal_counted_ones(spread):
     rng = np.random.default_rng(0)
     core = np.arange(100, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([core[rng.random(100) < 0.9], rng.integers(100, 400, 30).astype(np.uint64)])) for _ in range(40)]
-    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
-    assert (nj.overlaps(sets, None) == want).all()
-    assert (nj.overlaps(sets[:11], sets[11:]) == want[:11, 11:]).all()
-    assert (nj.overlaps(sets[:3], None) == want[:3, :3]).all() and (nj.overlaps(sets[:1], sets[1:3]) == want[:1, 1:3]).all()
+    sets = [np.unique(np.concatenate([core[rng.random(100) >= spread * rng.random()], rng.integers(100, 400, rng.integers(1, 2 + int(60 * spread))).astype(np.uint64)])) for _ in range(60)]
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    size = np.array([len(x) for x in sets])
+    for percent in (60, 75, 90):
+        want = 100 * common >= percent * (size[:, None] + size[None] - common)
+        assert (nj.links_within(sets, None, percent) == want).all()
+        assert (nj.links_within(sets[:11], sets[11:], percent) == want[:11, 11:]).all()
+        assert (nj.links_within(sets[:3], None, percent) == want[:3, :3]).all() and (nj.links_within(sets[:1], sets[1:3], percent) == want[:1, 1:3]).all()
+
+
+def test_a_chain_of_documents(spark):
+    """Each of 200 documents links with its neighbours alone."""
+    words = [f"w{i}" for i in range(200 * 8 + 100)]
+    rows = [(1000 - i, " ".join(words[8 * i : 8 * i + 90])) for i in range(200)]
+    out = got(nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out == plain(rows) and {r[2] for r in out} == {801} and {r[3] for r in out} == {1, 2}
 
 
 def test_packed_lists_round_trip():
@@ -107,3 +119,6 @@ def test_packed_lists_round_trip():
 def test_columns(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert nj.ngram_join(df).select(F.col("doc_id"), "n_shingles", "component_id", "n_links").dtypes == [(c, "bigint") for c in ("doc_id", "n_shingles", "component_id", "n_links")]
+    more = df.withColumn("n_words", F.lit(7))
+    assert [tuple(r) for r in nj.ngram_join(more, carry=["n_words"]).select("doc_id", F.lit(1)).collect()] == [(1, 1)]
+    assert nj.ngram_join(df.withColumn("x", F.lit(7)), carry=["x"]).first().x == 7
