@@ -48,28 +48,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write `df` as Parquet (compressed) to the shared folder and read it back: the cut for wide intermediate tables. Plans on
-    top start from a scan, so they stay small however many rounds came before."""
+    top start from a scan, so they stay small however many rounds came before. by: a column whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # once the table is there, nothing reads the shuffles that made it
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of `written` that nothing reads any more. Only folders that `written` made are touched."""
+def discard(*tables: DataFrame, parts: list[str] | None = None) -> None:
+    """Delete tables of `written` that nothing reads any more; with `parts`, only these folders of them. Only folders that `written` made are touched."""
     for table in tables:
-        jvm = table.sparkSession.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if folder.rsplit("/", 1)[-1].startswith(PREFIX):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {_root(f) for f in table.inputFiles()} - {None}:
+            for x in [f"{folder}/{p}" for p in parts] if parts else [folder]:
+                path = jvm.org.apache.hadoop.fs.Path(x)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def _root(file: str) -> str | None:
+    """The folder of `written` that a file belongs to."""
+    steps = file.split("/")
+    at = next((i for i, x in enumerate(steps) if x.startswith(PREFIX)), None)
+    return None if at is None else "/".join(steps[: at + 1])
 
 
 def partitions(spark: SparkSession) -> int:
