@@ -27,6 +27,11 @@ def fold(remainder: int, modulus: int, column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def share_of(share: float, *columns: str):
+    """Whether the 64-bit hash of the columns lies in the first `share` of its range. No share is too small for the bound."""
+    return F.lit(True) if share >= 1 else F.xxhash64(*columns) < F.lit(-(1 << 63) + int(share * (1 << 64)))
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most `rows` rows, which bounds the Python objects that a task holds at a time."""
     for batch in batches:
@@ -50,8 +55,6 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-
-
 def keep_rows(docs: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """The rows of `docs`, all columns as they are, for which `wanted` holds; decided batch by batch inside the tasks."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlog.llm.common import keep_rows, small, texts_of
+from factlog.llm.common import keep_rows, share_of, small, texts_of
 
 DIM = 1 << 15  # hashed words
 STATS = 16
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192) -> Machine:
     """
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, rows / max(labels.count(), 1))
-    some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * rows)
+    some = labels.where(share_of(share, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Words()
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192) -> Machine:
             parts = [(at[a:b].tobytes(), x[a:b].tobytes()) for a, b in cuts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("quality").cast(pa.int32()), "at": pa.array([p for p, _ in parts], pa.binary()), "x": pa.array([p for _, p in parts], pa.binary())})
 
-    # at most 2 * rows ids and flags: small enough to broadcast whatever the size of the corpus
+    # about `rows` ids and flags: small enough to broadcast whatever the size of the corpus
     found = docs.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, y int, at binary, x binary").toArrow().sort_by("doc_id")
     machine = Machine()
     if found.num_rows:
@@ -166,7 +166,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, rows: int = 819
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, rows: int = 8192) -> DataFrame:
-    """The rows of `docs`, with all their columns, that score at least 0.5; trained as in `quality_scores`."""
+    """The rows of `docs`, with all their columns, that score at least 0.5; trained as in `quality_scores`.
+
+    Null and empty texts are scored by their statistics like any other; repeated rows stay or go together; rows without an id are scored too;
+    no rows give no rows; columns of any name pass through.
+    """
     machine = train(docs.where(~held_out & F.col("text").isNotNull()), labels, rows)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 

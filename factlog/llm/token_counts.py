@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlog.llm.common import small, texts_of
+from factlog.llm.common import share_of, small, texts_of
 
 #: How byte-level BPE of this family splits a text before the merges (fixed by the vocabulary file's pre-tokenizer).
 #: White space is Unicode's White_Space property, as the library has it.
@@ -78,7 +78,7 @@ def frequent_lengths(docs: DataFrame, path: str, size: int, sample_docs: int) ->
         yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
 
     share = min(1.0, sample_docs / max(docs.count(), 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+    some = docs.where(share_of(share, "doc_id", "text"))
     rows = some.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size).collect()
     pieces = [r["piece"] for r in rows]
     return dict(zip(pieces, library(path)(pieces), strict=True)) if pieces else {}
