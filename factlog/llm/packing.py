@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlog.llm.common import small, texts_of, whole_texts
 from factlog.llm.ngram_join import ngram_join
-from factlog.session import partitions
+from factlog.session import partitions, written
 
 OUTPUT = "doc_id long, piece int, start long, n_words long, bin string, position int, room long"
 
@@ -52,47 +54,53 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
     return out
 
 
-def same_text() -> Column:
-    """Equal for texts that differ only in case and white space."""
-    return F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))))
+MEASURED = "doc_id long, source long, cluster long, n long, h long"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Every row's id, source, number of words, and a cluster: equal for texts that differ only in case and white space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            words = [x.encode().lower().split() for x in texts_of(batch)]
+            cluster = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(cluster), pa.array([len(w) for w in words], pa.int64()), batch.column("h")], ["doc_id", "source", "cluster", "n", "h"])
+
+    return _keyed(docs).mapInArrow(run, MEASURED)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("source"), F.lit(0)).alias("source"), "text", F.xxhash64("doc_id", "text").alias("h"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """`(cluster, component)` of the texts (`same_text`, hashed) that are near copies of others, as `ngram_join` has it. Texts stand in for
-    ids, so rows without an id and ids of several texts count as well."""
-    found = ngram_join(docs.select(F.xxhash64(same_text()).alias("doc_id"), "text")).where("component_id <> doc_id")
-    return found.groupBy(F.col("doc_id").alias("cluster")).agg(F.min("component_id").alias("component"))
+    """As `measured`, with near copies as `ngram_join` has them in one cluster. A hash of id and text stands in for the id, so rows without an
+    id and ids of several texts count as well. Texts without words are clusters of their own."""
+    rows = _keyed(docs).select(F.col("h").alias("doc_id"), "text", F.col("doc_id").alias("id"), "source")
+    found = ngram_join(rows, carry=["id", "source"])
+    return found.select(F.col("id").alias("doc_id"), "source", F.col("component_id").alias("cluster"), F.col("n_words").alias("n"), F.col("doc_id").alias("h"))
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_rows: int = 2048, cluster: Column | None = None, components: DataFrame | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, per_source: int = 4, shard_rows: int = 2048, rows: DataFrame | None = None) -> DataFrame:
     """Pack every row's whole text, measured in white-space separated words, into bins of `capacity` words.
 
-    Longer texts are split into pieces: full pieces fill a bin each, the last one is packed. `cluster` says which
-    documents are copies of each other (default: equal texts but for case and white space); `components` (`near_copies`)
-    joins clusters to larger ones; a bin never holds two pieces of one cluster, and at most `per_source` of one source. Rows are dealt into shards of about `shard_rows` by a
-    hash of id and text, so a frequent source or a large cluster is spread over all of them, and every shard is packed
-    by decreasing size. The number of shards follows the number of rows.
+    Longer texts are split into pieces: full pieces fill a bin each, the last one is packed. `rows` says which
+    documents are copies of each other (`measured`, the default: equal texts but for case and white space; `near_copies`: near ones
+    too); a bin never holds two pieces of one cluster, and at most `per_source` of one source. Rows are dealt into shards of
+    about `shard_rows` by a hash of id and text, so a frequent source or a large cluster is spread over all of them, and repeats of one
+    row are dealt one by one. Every shard is packed by decreasing size. The number of shards follows the number of rows.
 
     Returns `(doc_id, piece, start, n_words, bin, position, room)`: start is the piece's first word, bin is shard and
     number, position the piece's place in the bin, room what the finished bin has left. Null and empty texts give one
     piece of 0 words in a bin of their own. A null source or id is a value like any other. Repeated rows are packed each; other columns are
     dropped; no rows give no rows.
     """
-    if cluster is None:
-        cluster = same_text()
     spark = docs.sparkSession
-    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.xxhash64("source"), F.lit(0)).alias("source"),
-        F.xxhash64(cluster).alias("cluster"),
-        words.cast("long").alias("n"),
-        F.xxhash64("doc_id", "text").alias("h"),
-    )
-    if components is not None:
-        rows = rows.join(components, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster")).select("doc_id", "source", "cluster", "n", "h")
-    shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
+    whole_texts(spark)
+    rows = written(measured(docs) if rows is None else rows)
+    shards = max(1, -(-rows.count() // shard_rows))
+    # repeats of a row have one hash: the task and its row number tell them apart
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(shards)))
     rows = rows.repartition(max(partitions(spark), min(shards, 20_000)), "shard").sortWithinPartitions("shard", "doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

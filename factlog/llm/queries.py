@@ -27,7 +27,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.best_fit(docs, components=packing.near_copies(docs))
+    return packing.best_fit(docs, rows=packing.near_copies(docs))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

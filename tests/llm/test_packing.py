@@ -64,6 +64,13 @@ def test_copies_never_share_a_bin(spark):
     assert len({r.bin for r in out}) == 50
 
 
+def test_repeated_rows_are_dealt_over_the_shards(spark):
+    docs = spark.createDataFrame([(None, "", "s")] * 600, "doc_id long, text string, source string")
+    out = packing.best_fit(docs, shard_rows=50).collect()
+    shards = Counter(r.bin.split(":")[0] for r in out)
+    assert len(out) == 600 and len({r.bin for r in out}) == 600 and len(shards) == 12 and max(shards.values()) < 120
+
+
 def test_empty_documents_column_clash(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 1, "q", 5)], "doc_id long, text string, source string, n int, shard string, h int")
     assert [(r.doc_id, r.n_words) for r in packing.best_fit(docs).collect()] == [(1, 2)]
