@@ -7,11 +7,11 @@ are not sent, so there are never more rows than keys.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 ROW = "kind string, place long, of long, x binary, a double, b double"
@@ -19,18 +19,18 @@ _FIELDS = pa.schema([("kind", pa.string()), ("place", pa.int64()), ("of", pa.int
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
-    """Arrays of one length as bytes: the numbers' bytes stand plane by plane, which zlib shortens well. Unsigned 64-bit columns
+    """Arrays of one length as bytes: the numbers' bytes stand plane by plane, which shortens well. Unsigned 64-bit columns
     are taken as differences, so a sorted one takes what its gaps need."""
     planes = []
     for c in columns:
         c = np.diff(c, prepend=np.uint64(0)) if c.dtype == np.uint64 else np.ascontiguousarray(c)
         planes.append(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes())
-    return zlib.compress(b"".join(planes), 1)
+    return zstandard.compress(b"".join(planes), 1)
 
 
 def expand(raw: bytes, *kinds) -> list[np.ndarray]:
     """The columns of `squeeze`."""
-    flat = np.frombuffer(zlib.decompress(raw), np.uint8)
+    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
     kinds = [np.dtype(k) for k in kinds]
     n, at, out = len(flat) // sum(k.itemsize for k in kinds), 0, []
     for k in kinds:

@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +38,58 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp2(model.log2(every)).sum() - 1) < 1e-6
 
 
+def plain_bits(training, text):
+    """Interpolated Kneser-Ney from its definition, over tuples of code points."""
+    pad = lambda x: [1, 1, 1, *map(ord, x.lower())]
+    counts = Counter(tuple(p[i - 3 : i + 1]) for p in map(pad, training) for i in range(3, len(p)))
+    levels = []
+    for _ in range(4):
+        ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+        d = min(0.95, max(0.1, ones / max(1, ones + 2 * twos))) if ones else 0.5
+        total, kinds = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        levels.append((counts, d, total, kinds))
+        counts = Counter(g[1:] for g in counts)
+    bits, p = 0.0, pad(text)
+    for i in range(3, len(p)):
+        prob = 1 / 65536
+        for k, (counts, d, total, kinds) in enumerate(reversed(levels), 1):
+            g = tuple(p[i - k + 1 : i + 1])
+            if total[g[:-1]]:
+                prob = max(counts[g] - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * prob
+        bits -= math.log2(prob)
+    return bits / max(len(text), 1)
+
+
+LEARNED = [(i, t, g) for i, (t, g) in enumerate([("the cat sat on the mat", "en"), ("a dog ran to the cat", "en"), ("der hund lief zur katze", "de"), ("die katze saß da", "de"), ("le chat est là", "fr"), ("", "fr"), (None, "en"), ("the the the the the", "en"), ("nobody", None)])]
+ASKED = [(100, "the katze", None), (101, "là-bas le chien", None), (102, "xyz", None), (103, "12 34", None), (104, None, None), (105, "the katze", None), (None, "hund und katze", None), (106, "ß", None)]
+
+
+@pytest.mark.parametrize("room", [li.ROOM, 0])
+def test_predictions_equal_brute_force_however_models_are_held(spark, room):
+    docs = spark.createDataFrame(LEARNED + ASKED, "doc_id long, text string, lang string").repartition(3)
+    out = li.language_id(docs, F.coalesce(F.col("doc_id") >= 100, F.lit(True)), room=room).collect()
+    assert len(out) == len(LEARNED + ASKED)
+    names = ["de", "en", "fr"]
+    training = {g: [t for _, t, x in LEARNED if x == g and t is not None] for g in names}
+    want = []
+    for i, t, _ in LEARNED + ASKED:
+        bits = [plain_bits(training[g], t or "") for g in names]
+        und = not any(map(str.isalpha, t or ""))
+        want.append((i if i is not None else -1, "und" if und else names[int(np.argmin(bits))], round(min(bits), 6)))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.lang_pred, round(r.bits, 6)) for r in out) == sorted(want)
+
+
+def test_both_ways_accept_the_same(spark):
+    docs = table(spark, SF, "documents").where("doc_id < 300")
+    a, b = (sorted(tuple(r) for r in li.language_id(docs, fold(2, 4), room=room).withColumn("bits", F.round("bits", 6)).withColumn("score", F.round("score", 6)).collect()) for room in (li.ROOM, 0))
+    assert a == b
+    kept = [sorted(r.doc_id for r in li.keep_known(docs, fold(2, 4), room=room).collect()) for room in (li.ROOM, 0)]
+    assert kept[0] == kept[1] == [r[0] for r in a if r[5]]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", 5) for i, t in ODD], "doc_id long, text string, lang string, bits int")
     out = li.language_id(docs, F.lit(False)).collect()
@@ -59,6 +115,23 @@ def test_odd_rows_have_scores(spark):
     assert q.quality_scores(docs.where("false"), labels, F.lit(False)).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    """The trained machine's score of every text, from plain counts and every pair of inputs."""
+    docs, labels = table(spark, SF, "documents").where("doc_id < 120"), table(spark, SF, "labels")
+    machine = q.train(docs.where(~fold(1, 3)), labels)
+    got = {r.doc_id: r.score for r in q.quality_scores(docs, labels, fold(1, 3)).collect()}
+    for r in docs.collect():
+        words = Counter(zlib.crc32(w) % q.DIM for w in r.text.encode().lower().split())
+        length = math.sqrt(sum(math.log1p(n) ** 2 for n in words.values()))
+        inputs = [(k, math.log1p(n) / length) for k, n in words.items()]
+        offsets, at, x = q.features([r.text], [r.n_chars], q.Words())
+        inputs += [(int(i), float(v)) for i, v in zip(at, x, strict=True) if i >= q.DIM]
+        raw = machine.bias + sum(machine.w[i] * v for i, v in inputs)
+        vs = np.array([machine.v[i] * v for i, v in inputs])
+        raw += np.triu(vs @ vs.T, 1).sum()
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-3)
+
+
 def test_pairs_by_the_identity():
     m = q.Machine()
     m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
