@@ -17,11 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlog.llm.common import small, texts_of, whole_texts
-from factlog.llm.ngram_join import _P, WordHashes, mix
+from factlog.llm.ngram_join import _P, mix
 from factlog.llm.packed import ROW, at_places, batch_of, expand, merged, row, squeeze, stretches
 from factlog.session import discard, partitions, written
 
@@ -91,16 +92,26 @@ def seat(c: np.ndarray, p: np.ndarray, a: np.ndarray, d: float, rng: np.random.G
 # --- chunks ---
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        return out
+
+
 def chunks_of(docs: DataFrame) -> DataFrame:
     """Texts `(doc_id, text, held_out)` as chunks: their ids and sizes, the sorted hashes of their words, and every token's word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        places = Numbers()
         ids, held, found = [], [], []
         size = 0
 
         def out() -> pa.RecordBatch:
-            words, stream = np.unique(np.concatenate(found), return_inverse=True)
+            words, rank = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in places], _U64), return_inverse=True)
+            stream = rank[np.concatenate(found)]
+            places.clear()
             sizes = [len(x) for x in found]
             return pa.RecordBatch.from_pydict({
                 "chunk": pa.array([0], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int64())),
@@ -112,7 +123,7 @@ def chunks_of(docs: DataFrame) -> DataFrame:
                 t = tokens(text)
                 ids.append(doc_id)
                 held.append(hold)
-                found.append(np.fromiter(map(hashes.__getitem__, t), _U64, len(t)))
+                found.append(np.fromiter(map(places.__getitem__, t), _I32, len(t)))
                 size += len(t)
                 if size >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
                     yield out()
@@ -132,7 +143,7 @@ class Chunk:
         self.learned = np.repeat(~self.held, self.sizes)
 
     def paired(self, places: int) -> Chunk:
-        end = np.searchsorted(self.words, _U64(WordHashes()[END]))
+        end = np.searchsorted(self.words, _U64(xxhash.xxh64_intdigest(END)))
         before = np.concatenate([[end], self.stream[:-1]]).astype(_I64)  # every text ends with the end
         code, pair = np.unique(before * len(self.words) + self.stream, return_inverse=True)
         self.u, self.w = code // len(self.words), code % len(self.words)
@@ -164,6 +175,11 @@ def by_word(kind: str, of: int, places: int, keys: np.ndarray, *numbers: np.ndar
     return [row(kind, p, of, squeeze(keys[a:b], *(n[a:b] for n in numbers))) for p, a, b in stretches(place_of(full, places))]
 
 
+def homes_of(places: int) -> int:
+    """Places of words: fewer than those of pairs, with the square root of these, so that the lists between the two stay long."""
+    return max(64, int(8 * places**0.5))
+
+
 def summed_by(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
     some, back = np.unique(keys, return_inverse=True)
     return some, *(np.bincount(back, n, len(some)).astype(_I32) for n in numbers)
@@ -195,33 +211,29 @@ def pair_lists(chunks: DataFrame, places: int) -> DataFrame:
 
 def word_lists(chunks: DataFrame, places: int) -> DataFrame:
     """Every chunk's words, with their counts in its training texts, to the places of the words."""
-    return _of_chunks(chunks, lambda name, c: by_word("words", name, places, c.words, c.counts(c.stream, len(c.words)), bits=64))
+    return _of_chunks(chunks, lambda name, c: by_word("words", name, homes_of(places), c.words, c.counts(c.stream, len(c.words)), bits=64))
 
 
 def count_pairs(lists: DataFrame, tasks: int, places: int) -> DataFrame:
-    """At every place: `state`, the dishes with more than one customer and their tables; `links`, for each chunk's pairs 0 (never seen), 1
+    """At every place of pairs: `state`, the dishes with more than one customer and their tables; `links`, for each chunk's pairs 0 (never seen), 1
     (seen once) or 2 + the number in `state`; and to the words: how many dishes, and how many with one customer, they have as
     contexts (`u`) and in how many contexts they are dishes (`w`). a, b of `state`: pairs seen once and twice."""
 
     def each(place: int, held) -> list[tuple]:
         parts = [(of, *expand(x, _U64, _I64, _I32)) for of, x in held["pairs"]]
         u, w, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order].view(_U64), n[order]
-        new = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        which = np.cumsum(new) - 1
+        _, first, which = np.unique(mix(u * _P + w.view(_U64)), return_index=True, return_inverse=True)
         total = np.bincount(which, n).astype(_I64)
-        first = np.flatnonzero(new)
-        u, w = u[first], w[first]
+        by_context = np.argsort(u[first], kind="stable")
+        which, total = np.argsort(by_context)[which], total[by_context]
+        u, w = u[first][by_context], w.view(_U64)[first][by_context]
         many, known = total > 1, total > 0
-        code = np.where(many, np.cumsum(many) + 1, known).astype(_I32)
-        back = np.empty(len(order), _I32)
-        back[order] = code[which]
+        back = np.where(many, np.cumsum(many) + 1, known).astype(_I32)[which]
         ends = np.cumsum([len(p[1]) for p in parts])
         out = [row("links", place, p[0], squeeze(back[e - len(p[1]) : e])) for p, e in zip(parts, ends, strict=True)]
         one = (total == 1).astype(_I32)
         for kind, keys in (("u", u), ("w", w)):
-            out += by_word(kind, place, places, *summed_by(keys[known], known[known], one[known]))
+            out += by_word(kind, place, homes_of(places), *summed_by(keys[known], known[known], one[known]))
         out.append(row("state", place, place, squeeze(u[many], w[many].view(_I64), total[many], np.ones(many.sum()), np.zeros(many.sum(), _I64)), float(one.sum()), float((total == 2).sum())))
         return out
 
@@ -270,8 +282,8 @@ def customers_up(state: DataFrame, places: int, kept: bool = False) -> DataFrame
         for batch in batches:
             for place, x in zip(batch.column("place").to_pylist(), batch.column("x").to_pylist(), strict=True):
                 u, w, _, t, sums = expand(x, *_STATE)
-                out = by_word("u", place, places, *summed_by(u, sums if kept else t))
-                out += [] if kept else by_word("w", place, places, *summed_by(w.view(_U64), t))
+                out = by_word("u", place, homes_of(places), *summed_by(u, sums if kept else t))
+                out += [] if kept else by_word("w", place, homes_of(places), *summed_by(w.view(_U64), t))
                 if out:
                     yield batch_of(out)
 
@@ -330,9 +342,10 @@ def sweep_pairs(rows: DataFrame, tasks: int, d: float, strength: float, scale: f
 def learn(chunks: DataFrame, places: int, burn: int, keep: int, strength: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """The model: dishes `state` and `links`, `words`, and the figures that every score needs."""
     tasks = tasks_of(chunks, places)
-    counted = written(count_pairs(pair_lists(chunks, places), tasks, places))
+    counted = written(count_pairs(pair_lists(chunks, places), tasks, places), by="kind")
     links, state = counted.where("kind = 'links'"), counted.where("kind = 'state'")
     old = written(count_words(word_lists(chunks, places).union(counted.where("kind IN ('u', 'w')")), tasks))
+    discard(counted, parts=["kind=u", "kind=w"])
     words = old.where("kind = 'word'")
     sums = lambda df: df.agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
     (total, kinds), d1, d2 = sums(old.where("kind = 'totals'")), discount_of(*sums(words)), discount_of(*sums(state))
@@ -347,8 +360,7 @@ def learn(chunks: DataFrame, places: int, burn: int, keep: int, strength: float
         last = (kept / keep, scale, floor)
         floors += kept * floor / keep
         new = written(sweep_pairs(seated.where("kind IN ('U', 'W')").union(state), tasks, d2, strength, scale, floor, 2 * sweep + 1, kept))
-        if sweep:
-            discard(state)
+        discard(state, parts=["kind=state"] if sweep == 0 else None)
         state = new
     figures = {"total": int(total), "kinds": int(kinds), "floor": floors, "d": d2, "strength": strength, "last": last, "keep": keep}
     return links, state, words, figures
@@ -388,7 +400,7 @@ def answered(links: DataFrame, state: DataFrame, words: DataFrame, chunks: DataF
             out.append(row("words", of, place, squeeze(c[at], p[at], tables[at])))
         return out
 
-    asks = _of_chunks(chunks, lambda name, c: by_word("ask", name, places, c.words, bits=64))
+    asks = _of_chunks(chunks, lambda name, c: by_word("ask", name, homes_of(places), c.words, bits=64))
     return at_places(links.union(state), tasks, of_pairs).union(at_places(asks.union(words).union(customers_up(state, places, kept=True)), tasks, of_words))
 
 
@@ -449,4 +461,6 @@ def lm_scores(docs: DataFrame, held_out, burn: int = 1, keep: int = 3) -> DataFr
     n = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     places = max(64, -(-n // BUCKET_TOKENS))
     links, state, words, figures = learn(chunks, places, burn, keep)
-    return scores_of(chunks, answered(links, state, words, chunks, places, figures), places, figures)
+    answers = written(answered(links, state, words, chunks, places, figures))
+    discard(links, state, words)
+    return scores_of(chunks, answers, places, figures)

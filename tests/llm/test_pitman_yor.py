@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factlog.llm import packed
 from factlog.llm import pitman_yor as py
 from factlog.llm.common import fold
+from factlog.llm.ngram_join import WordHashes
 
 
 def corpus():
@@ -98,7 +99,7 @@ def test_scores_equal_brute_force_and_every_context_sums_to_one(spark, monkeypat
     df = spark.createDataFrame(rows, "doc_id long, text string, word string, row int").repartition(3).withColumn("held_out", fold(2, 7))
     chunks = py.written(py.chunks_of(df))
     links, state, words, figures = py.learn(chunks, 64, 1, 2)
-    hashes = py.WordHashes()
+    hashes = WordHashes()
     n = Counter()
     for i, text, *_ in rows:
         t = [py.END, *py.tokens(text or "")]
