@@ -26,14 +26,17 @@ def embed(df: DataFrame, model: Embedder | None = None, text: str = "text", dim:
 
         return df.withColumn("embedding", run(text))
     tokens = concepts(text)
-    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")
-    sign = lambda t: F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    number = lambda t, at, n: F.conv(F.substring(F.md5(t.cast("binary")), at, n), 16, 10).cast("long")
+    bucket = lambda t: (number(t, 1, 8) % dim).cast("int")
+    sign = lambda t: F.when(number(t, 9, 1) % 2 == 0, 1.0).otherwise(-1.0)
     hashed = F.transform(tokens, lambda t: F.struct(bucket(t).alias("b"), sign(t).alias("s")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter("__h", lambda h: h["b"] == i), F.lit(0.0), lambda acc, h: acc + h["s"]))
     norm = F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda acc, x: acc + x * x))
-    df = df.withColumn("__h", hashed).withColumn("__raw", raw)
-    unit = F.transform("__raw", lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
-    return df.withColumn("embedding", unit).drop("__h", "__raw")
+    # explode of one value: what it holds is computed once, where projections would be merged and compute it for every use
+    df = df.withColumn("__h", F.explode(F.array(hashed)))
+    df = df.withColumn("__raw", F.explode(F.array(raw)))
+    unit = F.transform("__raw", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(0.0).cast("float"))
+    return df.withColumn("__norm", F.explode(F.array(norm))).withColumn("embedding", unit).drop("__h", "__raw", "__norm")
 
 
 def extract_concepts(df: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "text") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.values import membership_hash
 from factlog.operators.components import connected_components
-from factlog.session import cut
+from factlog.session import cut, discard, written
 
 
 def semantic_graph(edges: DataFrame, direction: str = "undirected") -> DataFrame:
@@ -26,22 +29,45 @@ def comentions(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFrame
     return m.select(F.col("src").alias("a"), "dst").join(m.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
+BLOCK = 64  # queries whose scores stand side by side in one row
+HUB = 50_000  # edges of a source beyond which they are dealt over several keys
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
     """`(query_id, id, score)` of all queries' seeds `(query_id, id)` at once: s = (1 - d) [seed] + d * sum(s_u / outdegree_u).
 
-    Edges keep one partitioning by src; lineage is cut every few rounds.
+    A row is a node and a block of queries, whose scores are its columns, so an edge is joined once a round for the whole block and sums are
+    taken before the shuffle. Edges keep one partitioning; those of a hub are dealt over several keys. Tables are written every few rounds.
+    Nodes that no seed reaches have no row.
     """
+    spark = edges.sparkSession
     degree = edges.groupBy("src").agg(F.count("*").alias("n"))
-    e = edges.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("n")).alias("w")).persist()
-    start = seeds.select("query_id", "id").distinct().withColumn("score", F.lit(1 - damping))
+    splits = F.ceil(F.col("n") / HUB).cast("int")
+    e = written(edges.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), splits).cast("int").alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")))
+    hubs = written(degree.where(F.col("n") > HUB).select(F.col("src").alias("id"), splits.alias("splits")))
+    dealt = not hubs.isEmpty()
+    e = e.repartition("src", "salt").persist()
+    queries = written(seeds.select("query_id").distinct())
+    queries = written(queries.repartition(1 + queries.count() // (BLOCK * 1000)).withColumn("number", F.monotonically_increasing_id()))
+    slots = [f"s{j}" for j in range(min(BLOCK, queries.count()))]
+    slot = F.pmod("number", F.lit(BLOCK))
+    own = [F.max(F.when(slot == j, 1 - damping).otherwise(0.0)).alias(c) for j, c in enumerate(slots)]
+    start = written(seeds.select("query_id", "id").distinct().join(queries, "query_id").groupBy(F.floor(F.col("number") / BLOCK).alias("block"), "id").agg(*own)) if slots else None
+    if start is None:
+        e.unpersist()
+        return seeds.select("query_id", "id", F.lit(0.0).alias("score")).where("false")
     s = start
     for k in range(rounds):
-        moved = s.join(e, s["id"] == e["src"]).select("query_id", F.col("dst").alias("id"), (F.col("score") * F.col("w")).alias("score"))
-        s = start.union(moved).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-        if k % every == every - 1:
-            s = cut(s)
+        sent = s.join(hubs, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))) if dealt else s.withColumn("salt", F.lit(0))
+        moved = sent.withColumnRenamed("id", "src").join(e, ["src", "salt"]).select("block", F.col("dst").alias("id"), *[(F.col(c) * F.col("w")).alias(c) for c in slots])
+        s = start.union(moved.select(start.columns)).groupBy("block", "id").agg(*[F.sum(c).alias(c) for c in slots])
+        if k % every == every - 1 or k == rounds - 1:
+            s = written(s)
     e.unpersist()
-    return s
+    numbers = F.stack(F.lit(len(slots)), *[x for j, c in enumerate(slots) for x in (F.lit(j), F.col(c))])
+    long = s.select("block", "id", numbers.alias("slot", "score")).where("score > 0")
+    named = queries.select("query_id", F.floor(F.col("number") / BLOCK).alias("block"), slot.cast("int").alias("slot"))
+    return long.join(named, ["block", "slot"]).select("query_id", "id", "score")
 
 
 def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -59,7 +85,8 @@ def _local_moves(edges: DataFrame, gamma: float, rounds: int) -> DataFrame:
     both = edges.select("a", "b", "weight").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     degree = both.groupBy("a").agg(F.sum("weight").alias("k"))
     total = degree.agg(F.sum("k")).first()[0] or 0
-    at = cut(degree.select(F.col("a").alias("id"), F.col("a").alias("community"), "k"))
+    both = written(both)
+    at = written(degree.select(F.col("a").alias("id"), F.col("a").alias("community"), "k"))
     still = 0
     for r in range(rounds):
         sums = at.groupBy("community").agg(F.sum("k").alias("tot"))
@@ -72,7 +99,8 @@ def _local_moves(edges: DataFrame, gamma: float, rounds: int) -> DataFrame:
         best = gains.groupBy("a").agg(F.min_by("community", F.struct(-F.col("gain"), ~F.col("stay"), "community")).alias("to"))
         mine = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
         moved = at.join(best.withColumnRenamed("a", "id"), "id").select("id", F.when(mine, F.col("to")).otherwise(F.col("community")).alias("community"), "k", (mine & (F.col("to") != F.col("community"))).alias("moved"))
-        moved = cut(moved)
+        old, moved = at, written(moved)
+        discard(old)
         at = moved.select("id", "community", "k")
         still = 0 if not moved.where("moved").isEmpty() else still + 1
         if still == 2:  # neither half moves
@@ -94,14 +122,14 @@ def hierarchy(edges: DataFrame, gamma: float = 1.0, levels: int = 10, rounds: in
     out: list[DataFrame] = []
     graph, map_ = edges, None
     for _ in range(levels):
-        part = cut(connected_parts(graph, _local_moves(graph, gamma, rounds)))
-        whole = part if map_ is None else cut(map_.join(part.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
+        part = written(connected_parts(graph, _local_moves(graph, gamma, rounds)))
+        whole = part if map_ is None else written(map_.join(part.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
         if out and whole.select("community").distinct().count() == out[-1].select("community").distinct().count():
             break
         out.append(whole)
         map_ = whole
         a, b = part.select(F.col("id").alias("a"), F.col("community").alias("ca")), part.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-        graph = cut(graph.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+        graph = written(graph.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     return out
 
 
@@ -134,6 +162,28 @@ def parse_resolutions(text: str) -> list[float]:
     return out
 
 
+def resolutions(text="text"):
+    """G14 for a column: `(values, error)`; blanks between commas don't count, every value must be a positive number."""
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    values = F.transform(parts, lambda x: x.try_cast("double"))
+    bad = (F.size(values) == 0) | F.exists(values, lambda x: x.isNull() | (x <= 0))
+    return F.when(~bad, values), F.when(bad, "BAD_RESOLUTIONS")
+
+
+def faults(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """What a partition `(level, id, community)` of a graph must not have, by level: nodes without or with several communities, and
+    communities that are not connected. `(level, nodes, strays, broken, modularity)`."""
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    out = None
+    for (level,) in sorted(members.select("level").distinct().collect()):
+        part = members.where(F.col("level") == level).select("id", "community")
+        each = nodes.join(part.groupBy("id").agg(F.count("*").alias("n")), "id", "full").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("strays"))
+        apart = connected_parts(edges, part).withColumnRenamed("community", "part").join(part, "id").groupBy("community").agg(F.countDistinct("part").alias("parts")).agg(F.count_if(F.col("parts") > 1).alias("broken"))
+        row = each.crossJoin(apart).crossJoin(modularity(edges, part)).select(F.lit(level).alias("level"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def group(members: DataFrame, top: int = 32) -> DataFrame:
     """`(level, community, size, top)`, members by id. The first `top` ids come from a rank, not from a collected group."""
     rank = F.row_number().over(Window.partitionBy("level", "community").orderBy("id"))
@@ -142,13 +192,23 @@ def group(members: DataFrame, top: int = 32) -> DataFrame:
 
 
 def persist(members: DataFrame, path: str) -> bool:
-    """Write the hierarchy to a new place; an empty one leaves the old. Returns whether it was written."""
+    """Write the hierarchy to a new folder under `path`, and only then let the pointer name it; a failed write leaves the old
+    one in place, and so does an empty hierarchy. Returns whether the pointer moved."""
     if members.isEmpty():
         return False
-    members.write.mode("overwrite").parquet(path)
+    version = uuid.uuid4().hex
+    members.write.parquet(f"{path}/{version}")
+    members.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{path}/pointer-{time.time_ns():020d}")
     return True
 
 
+def persisted(spark: SparkSession, path: str) -> DataFrame:
+    """The hierarchy that the newest pointer names."""
+    pointers = spark.read.parquet(f"{path}/pointer-*").select("version", F.regexp_extract(F.input_file_name(), "pointer-([0-9]+)", 1).alias("at"))
+    version = pointers.orderBy(F.desc("at")).first()["version"]
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def cohesion(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """`(community, members, avg_cosine, mdl_ratio, vectors)`: the average pairwise cosine without any pair.
 
@@ -185,7 +245,8 @@ def parse_token(token="token"):
 
 
 def fingerprints(members: DataFrame) -> DataFrame:
-    """G13 for every community."""
+    """G13 for every community. The hash is that of all its sorted ids in a row, so a community's ids meet in one task (some 30 bytes each); what is
+    kept is the hash alone."""
     return members.groupBy("level", "community").agg(membership_hash(F.collect_list(F.col("id").cast("string"))).alias("hash"))
 
 

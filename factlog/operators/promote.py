@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factlog.functions.constants import FRAME_SCHEMAS
 from factlog.functions.values import membership_hash
@@ -111,11 +112,12 @@ def addressable(x: Column) -> Column:
 
 
 def materialise(members: DataFrame, states: DataFrame, most: int | None = None) -> DataFrame:
-    """`(community, entries)`: members with kind, body and ts, by id; of the first `most` communities, if given. Communities
-    are what a summarizer reads at once, so they are gathered as rows by design; cut them by level before."""
+    """`(community, position, id, kind, body, ts)`: members by id, one row each, so no community is held as one value; of the first `most`
+    communities, if given."""
     if most is not None:
         members = members.join(members.select("community").distinct().orderBy("community").limit(most), "community", "left_semi")
-    return members.join(states, "id").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "body", "ts"))).alias("entries"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy("id"))
+    return members.select("community", "id").join(states, "id").select("community", place.alias("position"), "id", "kind", "body", "ts")
 
 
 def community_hashes(members: DataFrame) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.values import col, concepts, cosine
 from factlog.operators import activation, graph
+from factlog.session import discard, partitions, written
 
-BROADCAST_ROWS = 10_000  # queries beyond this are not broadcast
+QUERY_BLOCK = 4096  # queries that a task holds at a time
 
 
 @dataclass(frozen=True)
@@ -60,26 +65,130 @@ def resolve_seeds(wanted: DataFrame, mentions: DataFrame, k: int = 5) -> DataFra
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, exclude_self: bool = False) -> DataFrame:
     """`(query_id, id, sim, rank)`: the k vectors of greatest cosine, optionally at or over a floor; ties by id.
 
-    Exact. Each query's best k are kept by a bounded aggregate inside every map task, so only k rows per query and task are shuffled. A
-    small table of queries is broadcast; a larger one is dealt into blocks that meet the vectors one after another.
+    Exact, by matrix products over Arrow batches; each task keeps k rows a query, and these are ranked once more. Queries are dealt into
+    blocks of QUERY_BLOCK. One block is broadcast to the vectors where they are; more meet the vectors group by group: each block with each
+    part of the vectors, so no task holds more than a block and a batch. Vectors of other widths than the query's don't count, null and empty ones have no neighbours, a zero vector has cosine 0.
     """
-    q = queries.select("query_id", F.col("embedding").alias("qv"))
-    if q.count() <= BROADCAST_ROWS:
-        q = F.broadcast(q)
-    pairs = vectors.select("id", "embedding").join(q, F.size("qv") == F.size("embedding")).withColumn("sim", cosine("qv", "embedding"))
-    if exclude_self:
-        pairs = pairs.where("id <> query_id")
-    if floor is not None:
-        pairs = pairs.where(F.col("sim") >= floor)
+    spark = queries.sparkSession
+    q = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = q.count()
+    out = f"query_id {q.schema['query_id'].dataType.simpleString()}, id string, sim double"
+    more = {"k": k, "floor": floor, "exclude_self": exclude_self}
+    if n <= QUERY_BLOCK:
+        table = q.toArrow()  # at most QUERY_BLOCK rows
+        held = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), [np.array(x, float) for x in table.column("embedding").to_pylist()]))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = QueryBlock(*held.value, **more)
+            for batch in batches:
+                block.add(batch.column("id").to_pylist(), batch.column("embedding").to_pylist())
+            yield from block.rows()
+
+        pairs = v.mapInArrow(scan, out)
+    else:
+        blocks, parts = -(-n // QUERY_BLOCK), partitions(spark)
+        side = q.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", F.lit(None).cast("string").alias("id"), "embedding")
+        rest = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "id", "embedding")
+        both = side.union(rest).repartition("block", "part").sortWithinPartitions("block", "part", "id")  # a group's queries stand first
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, ids, held, block = None, [], [], None
+            for batch in batches:
+                rows = list(zip(*(batch.column(c).to_pylist() for c in ("block", "part", "query_id", "id", "embedding")), strict=True))
+                for key, group in groupby(rows, key=lambda r: r[:2]):
+                    if key != now:
+                        if block:
+                            yield from block.rows()
+                        now, ids, held, block = key, [], [], None
+                    group = list(group)
+                    asked = [r for r in group if r[3] is None]
+                    ids += [r[2] for r in asked]
+                    held += [np.array(r[4], float) for r in asked]
+                    found = [r for r in group if r[3] is not None]
+                    if found and ids:
+                        block = block or QueryBlock(ids, held, **more)
+                        block.add([r[3] for r in found], [r[4] for r in found])
+            if block:
+                yield from block.rows()
+
+        pairs = both.mapInArrow(meet, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return pairs.select("query_id", "id", "sim").withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def index_quantile(values: DataFrame, q: float) -> DataFrame:
-    """Per query the value at index int(q * n) of the ascending order, without interpolation. `(query_id, value)`."""
-    w = Window.partitionBy("query_id")
-    at = F.least(F.floor(q * F.count("*").over(w)), F.count("*").over(w) - 1)
-    return values.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("at", at).withColumn("n", F.count("*").over(w)).where("i = at").select("query_id", "value", "n")
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "sim", "rank")
+
+
+class QueryBlock:
+    """The best k vectors of a block of queries so far."""
+
+    def __init__(self, ids: list, vectors: list[np.ndarray], k: int, floor: float | None, exclude_self: bool):
+        self.ids, self.k, self.floor = ids, k, floor
+        self.own = {str(x): i for i, x in enumerate(ids)} if exclude_self else {}
+        self.widths = {w: ([i for i, x in enumerate(vectors) if len(x) == w], np.stack([unit(x) for x in vectors if len(x) == w])) for w in {len(x) for x in vectors} - {0}}
+        self.best = [(np.zeros(0, int), np.zeros(0), [])]
+
+    def add(self, ids: list[str], vectors: list[list[float]]) -> None:
+        for width, (mine, q) in self.widths.items():
+            rows = sorted((i for i, x in enumerate(vectors) if len(x) == width and None not in x), key=lambda i: ids[i])
+            for lo in range(0, len(rows), step := max(1, 4_000_000 // len(mine))):
+                some = rows[lo : lo + step]
+                sims = np.round(q @ np.stack([unit(np.array(vectors[i], float)) for i in some]).T, 12)  # equal vectors have equal cosines
+                place = {i: j for j, i in enumerate(mine)}
+                for j, i in enumerate(some):
+                    if ids[i] in self.own and self.own[ids[i]] in place:
+                        sims[place[self.own[ids[i]]], j] = -np.inf
+                low = np.partition(sims, -self.k, axis=1)[:, -self.k][:, None] if len(some) > self.k else -np.inf
+                good = (sims >= low) & (sims > -np.inf) & (sims >= (-np.inf if self.floor is None else self.floor))
+                who, at = np.nonzero(good)
+                first = np.lexsort((at, -sims[who, at], who))
+                who, at = who[first], at[first]
+                rank = np.arange(len(who)) - np.searchsorted(who, who)
+                who, at = who[rank < self.k], at[rank < self.k]
+                self.best.append((np.array(mine, int)[who], sims[who, at], [ids[some[j]] for j in at]))
+            self.shrink(50)
+
+    def shrink(self, most: int) -> None:
+        if len(self.best) <= most:
+            return
+        who, sim, ids = np.concatenate([b[0] for b in self.best]), np.concatenate([b[1] for b in self.best]), [x for b in self.best for x in b[2]]
+        order = sorted(range(len(ids)), key=lambda i: (who[i], -sim[i], ids[i]))
+        rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order = [i for i, r in zip(order, rank, strict=True) if r < self.k]
+        self.best = [(who[order], sim[order], [ids[i] for i in order])]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.shrink(0)
+        who, sim, ids = self.best[0]
+        if len(ids):
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array([self.ids[i] for i in who]), "id": pa.array(ids, pa.string()), "sim": pa.array(sim)})
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(x @ x)
+    return x / norm if norm > 0 else x
+
+
+def index_quantile(values: DataFrame, q: float, range_rows: int = 100_000) -> DataFrame:
+    """Per query the value at index int(q * n) of the ascending order, without interpolation. `(query_id, value, n)`.
+
+    Queries of up to `range_rows` rows are ranked whole. Where there are larger ones, values are first counted by ranges (whose bounds are
+    approximate quantiles of the query), and only the range that holds the index is ranked: the bounds decide who is ranked, no result.
+    """
+    n = values.groupBy("query_id").agg(F.count("*").alias("n"))
+    most = n.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    at = F.least(F.floor(q * F.col("n")), F.col("n") - 1)
+    df = values.select("query_id", "value").join(n.withColumn("at", at), "query_id")
+    if most > range_rows:
+        points = min(512, int(2 * most // range_rows))
+        bounds = values.groupBy("query_id").agg(F.array_distinct(F.percentile_approx("value", [i / points for i in range(1, points)], 20 * points)).alias("bounds"))
+        df = df.join(bounds, "query_id").withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")
+        counts = df.groupBy("query_id", "range").agg(F.count("*").alias("rows"), F.first("at").alias("at"))
+        before = F.sum("rows").over(Window.partitionBy("query_id").orderBy("range")) - F.col("rows")
+        holds = counts.withColumn("before", before).where("at >= before AND at < before + rows").select("query_id", "range", "before")
+        df = df.join(holds, ["query_id", "range"]).withColumn("at", F.col("at") - F.col("before"))
+    # equal values are one row of the ranking
+    each = df.groupBy("query_id", "value").agg(F.count("*").alias("rows"), F.first("at").alias("at"), F.first("n").alias("n"))
+    before = F.sum("rows").over(Window.partitionBy("query_id").orderBy("value")) - F.col("rows")
+    return each.withColumn("before", before).where("at >= before AND at < before + rows").select("query_id", "value", "n")
 
 
 def gate_stage(sim, ppr, p75, n, gate: Gate) -> Column:
@@ -117,9 +226,11 @@ def recall(queries: DataFrame, mentions: DataFrame, states: DataFrame, vectors:
     results; the caller appends them.
     """
     queries = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    mentions = written(mentions.select("src", "dst"))  # read for the seeds and for both directions of the graph
     start = resolve_seeds(query_concepts(queries), mentions, seeds).select("query_id", "id")
     ppr = graph.pagerank(graph.semantic_graph(mentions, direction), start, damping, rounds).withColumnRenamed("score", "ppr")
-    ranked = ppr.where("id LIKE 'entry:%'")
+    ranked = written(ppr.where("id LIKE 'entry:%'"))
+    discard(mentions)
     p75 = index_quantile(ranked.select("query_id", F.col("ppr").alias("value")), 0.75).select("query_id", F.col("value").alias("p75"), "n")
     c = candidates(ranked, states, vectors, queries).withColumn("base", activation.current(now)).where(~F.col("evicted") & (F.col("base") >= threshold)).join(p75, "query_id")
     imp = F.coalesce("importance", F.lit(0.0)) if "importance" in states.columns else F.lit(0.0)

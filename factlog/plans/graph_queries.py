@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,7 @@ from factlog.functions import hooks, values
 from factlog.operators import activation, graph, recall, write
 from factlog.plans import views as v
 from factlog.plans.views import sql
+from factlog.session import PREFIX, shared_dir, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -48,26 +51,45 @@ def ppr_sql(graph_view: str, seeds: str, rounds: int, damping: str = "0.85") ->
 _BOTH = "both_ways AS (SELECT src, dst FROM parts UNION SELECT dst, src FROM parts)"
 
 
-@query("g3_pagerank", sql(f", {_BOTH}, seeds AS (SELECT DISTINCT 'q' || (o_custkey % 5) AS query_id, 'entry:' || o_orderkey AS id FROM orders WHERE o_orderkey % 400 = 1), {ppr_sql('both_ways', 'seeds', 6)} SELECT query_id, id, round(score, 9) AS score FROM s6", "parts"))
+@query("g3_pagerank", sql(f", {_BOTH}, seeds AS (SELECT DISTINCT 'q' || (o_custkey % 5) AS query_id, 'entry:' || o_orderkey AS id FROM orders WHERE o_orderkey % 400 = 1), {ppr_sql('both_ways', 'seeds', 20)} SELECT query_id, id, round(score, 9) AS score FROM s20", "parts"))
 def g3(s, d):
     seeds = v.table(s, d, "orders").where("o_orderkey % 400 = 1").selectExpr("concat('q', o_custkey % 5) AS query_id", "concat('entry:', o_orderkey) AS id")
-    return graph.pagerank(graph.semantic_graph(v.parts(s, d)), seeds, rounds=6).select("query_id", "id", F.round("score", 9).alias("score"))
+    return graph.pagerank(graph.semantic_graph(v.parts(s, d)), seeds).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query("g4_leiden")
 def g4(s, d):
-    return graph.leiden(weighted(s, d), [1.0], passes=2, rounds=4)
+    return graph.leiden(weighted(s, d))
 
 
 @query("g5_louvain")
 def g5(s, d):
-    return graph.louvain(weighted(s, d), 2, passes=2, rounds=4)
+    return graph.louvain(weighted(s, d))
+
+
+_SOUND = "WITH p AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), n AS (SELECT count(DISTINCT x.p) AS nodes FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.p <> y.p) SELECT level, nodes, 0 AS strays, 0 AS broken, true AS gained FROM n, (VALUES (0), (1), (2)) t(level)"
+
+
+@query("g4_leiden_sound", _SOUND)
+def g4_sound(s, d):
+    return sound(s, d, graph.leiden(weighted(s, d)))
+
+
+@query("g5_louvain_sound", _SOUND)
+def g5_sound(s, d):
+    return sound(s, d, graph.louvain(weighted(s, d)))
+
+
+def sound(s, d, members):
+    """Every node in one community, every community connected, and a modularity (at 1) that is above that of single nodes, which is below 0."""
+    found = graph.faults(weighted(s, d), written(members))
+    return found.select("level", "nodes", "strays", "broken", (F.col("modularity") > 0).alias("gained"))
 
 
 def weighted(s, d):
-    """Parts that stand together on orders, and how often."""
-    p = v.table(s, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("p")).distinct()
-    return p.select("l_orderkey", F.col("p").alias("a")).join(p.select("l_orderkey", F.col("p").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"))
+    """Parts that stand together on orders, and how often. An order has few parts, so it has few pairs."""
+    p = v.table(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
+    return written(p.select("l_orderkey", F.col("p").alias("a")).join(p.select("l_orderkey", F.col("p").alias("b")), "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")))
 
 
 @query("g6_connected_parts", "WITH g AS (SELECT c_nationkey AS n, c_custkey AS id, c_custkey - lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 30 AS gap FROM customer), i AS (SELECT id, n, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY id) AS k FROM g) SELECT id, min(id) OVER (PARTITION BY n, k) AS community FROM i")
@@ -88,6 +110,22 @@ def members(s, d):
     return v.vectors(s, d).select(F.lit(0).alias("level"), "community", "id")
 
 
+@query("g8_persist", "SELECT 0 AS level, label AS community, 'entry:' || vec_id AS id FROM embeddings")
+def g8(s, d):
+    """Write the hierarchy, then an empty one, which leaves the first in place; read what is there."""
+    path = f"{shared_dir(s)}/{PREFIX}hierarchy-{uuid.uuid4().hex}"
+    graph.persist(members(s, d), path)
+    graph.persist(members(s, d).where("false"), path)
+    return graph.persisted(s, path)
+
+
+@query("g14_resolutions", "WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber::DOUBLE AS x, (l_partkey % 3)::DOUBLE AS y FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN y > 0 THEN x + y END AS total, CASE WHEN y <= 0 THEN 'BAD_RESOLUTIONS' END AS error FROM t")
+def g14(s, d):
+    t = v.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%d, %d,", "l_linenumber", F.col("l_partkey") % 3).alias("text"))
+    found, error = graph.resolutions()
+    return t.select("l_orderkey", "l_linenumber", F.aggregate(found, F.lit(0.0), lambda a, x: a + x).alias("total"), error.alias("error"))
+
+
 @query("g9_cohesion", sql(", p AS (SELECT x.community, avg(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS c FROM vectors x JOIN vectors y ON x.community = y.community AND x.vec_id < y.vec_id GROUP BY x.community), n AS (SELECT community, count(*) AS members FROM vectors GROUP BY community) SELECT community, members, round(greatest(0, least(1, coalesce(c, 0))), 8) AS avg_cosine, round(CASE WHEN members < 2 THEN 1.0 ELSE greatest(1.0, 1 + greatest(0, least(1, c)) * ln(1 + members)) END, 8) AS mdl_ratio FROM n LEFT JOIN p USING (community)", "vectors"))
 def g9(s, d):
     x = v.vectors(s, d)
@@ -127,19 +165,18 @@ def r1(s, d):
 
 
 def questions(s, d):
-    """Every 97th document's first words as a query, with the vector of its number."""
-    text = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    t = v.table(s, d, "documents").where("doc_id % 97 = 5").select(F.concat(F.lit("q"), "doc_id").alias("query_id"), text.alias("text"), F.concat(F.lit("entry:"), F.col("doc_id") % 100).alias("id"))
+    """The user turns of every conversation whose id is divisible by 20, whole, as queries, each with the vector of its conversation's number."""
+    t = v.table(s, d, "conversations").where("conv_id % 20 = 0 AND role = 'user'").select(F.concat_ws("-", F.concat(F.lit("q"), "conv_id"), "turn").alias("query_id"), "text", F.concat(F.lit("entry:"), "conv_id").alias("id"))
     return t.join(v.vectors(s, d).select("id", "embedding"), "id").select("query_id", "text", "embedding")
 
 
-_WANTED = """q_tokens AS (SELECT 'q' || doc_id AS query_id, unnest(list_transform(regexp_split_to_array(array_to_string(list_slice(string_split(text, ' '), 1, 12), ' '), '[^\\p{L}\\p{Nd}_]+'), lambda t: lower(regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')))) AS token FROM documents WHERE doc_id % 97 = 5),
+_WANTED = """q_tokens AS (SELECT 'q' || conv_id || '-' || turn AS query_id, unnest(list_transform(regexp_split_to_array(text, '[^\\p{L}\\p{Nd}_]+'), lambda t: lower(regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')))) AS token FROM conversations WHERE conv_id % 20 = 0 AND role = 'user' AND conv_id IN (SELECT vec_id FROM vectors)),
     wanted AS (SELECT DISTINCT query_id, 'concept:' || token AS dst FROM q_tokens WHERE 'concept:' || token IN (SELECT dst FROM mentions)),
     shared AS (SELECT query_id, src AS id, count(*) AS shared FROM wanted JOIN mentions USING (dst) GROUP BY ALL),
     seeds AS (SELECT query_id, id, shared FROM shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) <= 5)"""
 
 
-@query("r2_seeds", sql(f", {_WANTED} SELECT query_id, id, shared FROM seeds", "mentions"))
+@query("r2_seeds", sql(f", {_WANTED} SELECT query_id, id, shared FROM seeds", "mentions", "vectors"))
 def r2(s, d):
     return recall.resolve_seeds(recall.query_concepts(questions(s, d)), v.mentions(s, d))
 
@@ -217,9 +254,9 @@ def r12(s, d):
     return x.select("l_orderkey", "l_linenumber", recall.why("l_quantity", "l_tax", "l_discount", "l_tax")[0].alias("base"))
 
 
-_RECALL = f""", {_WANTED}, both_ways AS (SELECT src, dst FROM mentions UNION SELECT dst, src FROM mentions), {ppr_sql('both_ways', 'seeds', 3)},
-    ranked AS (SELECT * FROM s3 WHERE id LIKE 'entry:%'), q75 AS (SELECT query_id, score AS p75, n FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM ranked) WHERE i = least(floor(0.75 * n), n - 1)),
-    cand AS (SELECT query_id, id, score AS ppr, p75, n, c.activation AS base, coalesce(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 0) AS sim FROM ranked JOIN q75 USING (query_id) JOIN current_states c ON c.e = ranked.id LEFT JOIN vectors x USING (id) JOIN vectors y ON y.vec_id = CAST(substr(query_id, 2) AS BIGINT) % 100 WHERE NOT evicted AND activation >= 0.0005),
+_RECALL = f""", {_WANTED}, both_ways AS (SELECT src, dst FROM mentions UNION SELECT dst, src FROM mentions), {ppr_sql('both_ways', 'seeds', 20)},
+    ranked AS (SELECT * FROM s20 WHERE id LIKE 'entry:%'), q75 AS (SELECT query_id, score AS p75, n FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM ranked) WHERE i = least(floor(0.75 * n), n - 1)),
+    cand AS (SELECT query_id, id, score AS ppr, p75, n, c.activation AS base, coalesce(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 0) AS sim FROM ranked JOIN q75 USING (query_id) JOIN current_states c ON c.e = ranked.id LEFT JOIN vectors x USING (id) JOIN vectors y ON y.vec_id = CAST(split_part(substr(query_id, 2), '-', 1) AS BIGINT) WHERE NOT evicted AND activation >= 0.0005),
     kept AS (SELECT *, 0.3 * base + 0.3 * ppr + 0.3 * sim AS score FROM cand WHERE sim >= 0.02 AND (sim >= 0.05 OR (CASE WHEN n >= 25 THEN ppr > p75 ELSE sim >= 0.02 - 0.15 * ppr END)) AND 0.7 * sim + 0.3 * ppr >= 0.03)
     SELECT query_id, id, round(score, 6) AS score FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
 
@@ -228,7 +265,7 @@ _RECALL = f""", {_WANTED}, both_ways AS (SELECT src, dst FROM mentions UNION SEL
 def r13(s, d):
     """The whole of recall; the gate is set low, since the test vectors have nothing to do with the texts."""
     gate = recall.Gate(hard=0.02, strict=0.05, alpha=0.15, composite=0.03, sim_weight=0.7, ppr_weight=0.3, baseline_n=25)
-    results, _ = recall.recall(questions(s, d), v.mentions(s, d), activation.state(v.activation_facts(s, d)), v.vectors(s, d), v.now(), gate, rounds=3)
+    results, _ = recall.recall(questions(s, d), v.mentions(s, d), activation.state(v.activation_facts(s, d)), v.vectors(s, d), v.now(), gate)
     return results.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -308,18 +345,40 @@ def w14(s, d):
     return f.select("e", "a", F.get_json_object("v", "$.target").alias("target"))
 
 
-@query("u1_embed")
+_HASHED = """parts_of AS (SELECT src, ('0x' || substr(md5(substr(dst, 9)), 1, 8))::BIGINT % 64 AS d, CASE WHEN ('0x' || substr(md5(substr(dst, 9)), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM mentions),
+    sums AS (SELECT src, d, sum(x) AS x FROM parts_of GROUP BY src, d), norms AS (SELECT src, sqrt(sum(x * x)) AS norm FROM sums GROUP BY src)"""
+
+
+@query("u1_embed", sql(f", {_HASHED} SELECT src AS e, d, round(CAST(CAST(x / norm AS FLOAT) AS DOUBLE), 6) AS x FROM sums JOIN norms USING (src) WHERE x <> 0", "mentions"))
 def u1(s, d):
-    return hooks.embed(v.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "embedding")
+    found = hooks.embed(v.entries(s, d).select("e", F.col("body").alias("text")))
+    return found.select("e", F.posexplode("embedding").alias("d", "x")).where("x <> 0").select("e", F.col("d").cast("long").alias("d"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("u2_concepts", sql("SELECT src AS e, string_agg(substr(dst, 9), ' ' ORDER BY dst) AS concepts FROM mentions GROUP BY src", "mentions"))
+def u2(s, d):
+    found = hooks.extract_concepts(v.entries(s, d).select("e", F.col("body").alias("text")))
+    return found.where(F.size("concepts") > 0).select("e", F.array_join("concepts", " ").alias("concepts"))
+
+
+@query("u3_propose_links", sql(", " + _NEAR.format("q.id <> x.id") + " SELECT query_id AS src, id AS dst, 'SIMILAR_TO' AS type, round(sim, 8) AS confidence FROM top", "vectors"))
+def u3(s, d):
+    return hooks.propose_links(links(s, d)).select("src", "dst", "type", F.round("confidence", 8).alias("confidence"))
+
+
+_TOP = """told AS (SELECT project AS community, m.src AS id, substr(dst, 9) AS token FROM mentions m JOIN entries ON entries.e = m.src),
+    ranked AS (SELECT community, token, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, token) AS r FROM told GROUP BY community, token),
+    best AS (SELECT * FROM ranked WHERE r <= {0}), names AS (SELECT community, string_agg(token, ' ' ORDER BY r) AS name FROM best GROUP BY community)"""
 
 
-@query("u4_propose_frames")
+@query("u4_propose_frames", sql(", " + _TOP.format(5) + ", hits AS (SELECT community, id, count(*) AS n FROM told JOIN best USING (community, token) GROUP BY ALL), first AS (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY n DESC, id) AS r FROM hits) SELECT community, 'Principle' AS type, name, 'about ' || name AS statement, community AS scope, id AS exemplar FROM names JOIN first USING (community) WHERE first.r = 1", "mentions", "entries"))
 def u4(s, d):
     m = v.entries(s, d).select(F.col("project").alias("community"), F.col("e").alias("id"), "body")
-    return hooks.propose_frames(m)
+    part = lambda k: F.get_json_object("slots", f"$.{k}").alias(k)
+    return hooks.propose_frames(m).select("community", "type", part("name"), part("statement"), part("scope"), F.col("exemplars")[0].alias("exemplar"))
 
 
-@query("u5_summarize")
+@query("u5_summarize", sql(", " + _TOP.format(8) + " SELECT community, name AS summary FROM names", "mentions", "entries"))
 def u5(s, d):
     m = v.entries(s, d).select(F.col("project").alias("community"), F.col("e").alias("id"), "body")
     return hooks.summarize(m)

@@ -185,7 +185,7 @@ def f17(s, d):
 def f18(s, d):
     st = v.entries(s, d).select(F.col("e").alias("id"), F.lit("Observation").alias("kind"), "body", F.col("encoding_at").alias("ts"))
     m = promote.materialise(v.vectors(s, d).select("community", "id"), st)
-    return m.select("community", F.size("entries").cast("long").alias("n"), F.col("entries")[0]["id"].alias("first"), F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + F.length(x["body"])).alias("chars"))
+    return m.groupBy("community").agg(F.max("position").cast("long").alias("n"), F.min_by("id", "position").alias("first"), F.sum(F.length("body")).cast("long").alias("chars"))
 
 
 @query("f19_scoped", sql(f", {_MEMBERS} SELECT community, count(*) AS size, max(last_tx) AS youngest FROM members WHERE vec_id % 20 = 4 GROUP BY community", "vectors"))
@@ -222,7 +222,7 @@ def m2f(s, d):
 
 
 def frame_edges(s, d):
-    return v.table(s, d, "lineitem").where("l_orderkey % 10 = 0").select(F.concat(F.lit("frame:"), "l_orderkey").alias("src"), F.lit("DERIVED_FROM").alias("rel"), F.concat(F.lit("entry:"), "l_partkey").alias("dst")).distinct()
+    return v.table(s, d, "lineitem").select(F.concat(F.lit("frame:"), "l_orderkey").alias("src"), F.lit("DERIVED_FROM").alias("rel"), F.concat(F.lit("entry:"), "l_partkey").alias("dst")).distinct()
 
 
 @query("m3_retract", "SELECT 'entry:' || c_custkey AS e, op, a FROM customer, (VALUES ('retract', 'exists'), ('add', 'retract.reason'), ('add', 'retract.actor')) t(op, a) WHERE c_custkey % 10 = 0")
@@ -231,7 +231,7 @@ def m3(s, d):
     return subjects.retract_facts(asked).select("e", "op", "a")
 
 
-@query("m4_cascade", "WITH e AS (SELECT DISTINCT 'frame:' || l_orderkey AS src, 'entry:' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 10 = 0), t AS (SELECT DISTINCT src FROM e WHERE src LIKE '%00'), o AS (SELECT src AS e, NULL AS cascade_from, 0 AS step FROM t UNION ALL SELECT dst, min(src), 1 FROM e JOIN t USING (src) GROUP BY dst) SELECT e, step, cascade_from FROM o")
+@query("m4_cascade", "WITH e AS (SELECT DISTINCT 'frame:' || l_orderkey AS src, 'entry:' || l_partkey AS dst FROM lineitem), t AS (SELECT DISTINCT src FROM e WHERE src LIKE '%00'), o AS (SELECT src AS e, NULL AS cascade_from, 0 AS step FROM t UNION ALL SELECT dst, min(src), 1 FROM e JOIN t USING (src) GROUP BY dst) SELECT e, step, cascade_from FROM o")
 def m4(s, d):
     edges = frame_edges(s, d)
     asked = edges.where("src LIKE '%00'").select(F.col("src").alias("e"), F.lit("old").alias("reason"), F.lit("me").alias("actor"), F.lit(True).alias("cascade")).distinct()

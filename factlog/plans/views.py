@@ -31,7 +31,7 @@ SQL = {
         mentions AS (SELECT DISTINCT src, 'concept:' || token AS dst FROM raw_tokens WHERE octet_length(encode(token)) >= 3 AND NOT regexp_matches(token, '^[0-9]+$') AND token NOT IN ("""
     + ", ".join(f"'{w}'" for w in STOPWORDS)
     + "))",
-    "parts": "parts AS (SELECT DISTINCT 'entry:' || l_orderkey AS src, 'concept:' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 4 = l_partkey % 4)",
+    "parts": "parts AS (SELECT DISTINCT 'entry:' || l_orderkey AS src, 'concept:' || l_partkey AS dst FROM lineitem)",
     "vectors": "vectors AS (SELECT 'entry:' || vec_id AS id, embedding, label AS community, vec_id FROM embeddings)",
     "files": """files AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || (CASE page_id % 11 """
     + " ".join(f"WHEN {i} THEN '.{exts[0]}'" for i, (_, _, exts) in enumerate(LANGUAGES))
@@ -94,8 +94,8 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as entries and their parts as concepts (a quarter of the pairs)."""
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = l_partkey % 4").selectExpr("concat('entry:', l_orderkey) AS src", "concat('concept:', l_partkey) AS dst").distinct()
+    """Orders as entries and their parts as concepts."""
+    return table(spark, d, "lineitem").selectExpr("concat('entry:', l_orderkey) AS src", "concat('concept:', l_partkey) AS dst").distinct()
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

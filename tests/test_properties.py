@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,84 @@ def test_communities_of_two_cliques(spark):
     assert parts == 2
 
 
+def plain_nearest(queries, vectors, k, floor, exclude_self):
+    out = []
+    for q, x in queries:
+        sims = []
+        for i, y in vectors:
+            if y and x and len(x) == len(y) and not (exclude_self and q == i):
+                n = np.sqrt(np.dot(x, x) * np.dot(y, y))
+                sims.append((-(round(float(np.dot(x, y) / n), 9) if n else 0.0), i))
+        out += [(q, i, -s) for s, i in sorted(sims)[:k] if floor is None or -s >= floor]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize(("floor", "exclude_self"), [(None, False), (0.1, True)])
+def test_nearest_equals_brute_force_however_queries_are_dealt(spark, monkeypatch, block, floor, exclude_self):
+    rng = np.random.default_rng(0)
+    rows = [(f"v{i}", rng.normal(size=4).tolist()) for i in range(150)] + [("z", [0.0] * 4), ("w", [1.0, 2.0]), ("n", None), ("e", []), ("v7b", [1.0, 0.0, 0.0, 0.0]), ("v7a", [2.0, 0.0, 0.0, 0.0])]
+    asked = rows[:40] + rows[-6:]
+    monkeypatch.setattr(recall, "QUERY_BLOCK", block)
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    got = sorted((r.query_id, r.id, r.sim) for r in recall.nearest(queries, vectors, 4, floor, exclude_self).collect())
+    want = plain_nearest(asked, rows, 4, floor, exclude_self)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-8)
+
+
+@pytest.mark.parametrize("range_rows", [100_000, 40])
+def test_quantiles_do_not_depend_on_the_ranges(spark, range_rows):
+    rng = random.Random(2)
+    rows = [("many", float(rng.randrange(60))) for _ in range(900)] + [("same", 1.0)] * 300 + [("one", 5.0)] + [("few", float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "query_id string, value double").repartition(3)
+    for q in (0.0, 0.5, 0.75, 1.0):
+        want = set()
+        for name in {r[0] for r in rows}:
+            x = sorted(v for n, v in rows if n == name)
+            want.add((name, x[min(int(q * len(x)), len(x) - 1)], len(x)))
+        assert {tuple(r) for r in recall.index_quantile(df, q, range_rows).collect()} == want
+
+
+def test_pagerank_equals_brute_force_with_hubs_and_many_queries(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(200)} | {("n0", f"n{i}") for i in range(40)}
+    seeds = {(f"q{k}", f"n{rng.randrange(40)}") for k in range(11) for _ in range(3)} | {("lost", "nowhere")}
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    monkeypatch.setattr(graph, "HUB", 10)
+    out = {}
+    targets = {}
+    for a, b in edges:
+        targets.setdefault(a, []).append(b)
+    for q in {q for q, _ in seeds}:
+        start = {i: 0.15 for x, i in seeds if x == q}
+        s = dict(start)
+        for _ in range(20):
+            new = dict(start)
+            for a, x in s.items():
+                for b in targets.get(a, []):
+                    new[b] = new.get(b, 0) + 0.85 * x / len(targets[a])
+            s = new
+        out |= {(q, i): round(x, 9) for i, x in s.items()}
+    e, s = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(sorted(seeds), "query_id string, id string")
+    assert {(r.query_id, r.id): round(r.score, 9) for r in graph.pagerank(e, s).collect()} == out
+    assert graph.pagerank(e, s.where("false")).count() == 0
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(f"line {i}\n" for i in range(5000)))
+    (tmp_path / "in" / "b.jsonl").write_text("first\n\nlast")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = log.read_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.line_no, r.line) for r in rows if r.file == "a.jsonl") == [(i, f"line {i}") for i in range(5000)]
+    assert sorted((r.line_no, r.line) for r in rows if r.file == "b.jsonl") == [(0, "first"), (1, ""), (2, "last")]
+    assert {r.ended for r in rows if r.file == "a.jsonl"} == {True} and {r.ended for r in rows if r.file == "b.jsonl"} == {False}
+
+
 def test_bad_resolutions():
     assert graph.parse_resolutions("10, 5,2.5") == [10.0, 5.0, 2.5]
     for text in ("", "1,-2"):
@@ -127,7 +206,8 @@ def test_bad_resolutions():
 def test_an_empty_hierarchy_keeps_the_old(spark, tmp_path):
     m = spark.createDataFrame([(0, 1, "x")], "level int, community long, id string")
     assert graph.persist(m, str(tmp_path / "h")) and not graph.persist(m.where("false"), str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 1
+    assert graph.persisted(spark, str(tmp_path / "h")).count() == 1
+    assert graph.persist(m.union(m.withColumn("id", F.lit("y"))), str(tmp_path / "h")) and graph.persisted(spark, str(tmp_path / "h")).count() == 2
 
 
 def test_components(spark):
