@@ -1,8 +1,9 @@
 """Document fingerprints from spot signatures, in DataFrame functions alone.
 
 A signature is a common word and the content words that follow it. A document's fingerprint is the sorted set of its
-signatures' hashes; documents are compared by the Jaccard similarity of these sets, and sets whose sizes already rule a
-similarity out are not compared.
+signatures' hashes; documents are compared by the Jaccard similarity of these sets. `near_documents` finds all near ones: sets are
+partitioned by their length, so that only neighbouring partitions can hold partners, met through their rarest signatures, pruned by
+size and position, and verified by Jaccard. `spot_fingerprints` makes the two comparisons that it is asked for, whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.operators.components import connected_components
-from factlog.session import cut, written
+from factlog.session import written
 
 #: Common words of English, German, French and Spanish, which anchor signatures.
 ANCHORS = (
@@ -53,11 +54,61 @@ def likeness(a: str, b: str, floor: float = 0.0) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(low < floor * high, 0.0).otherwise(exact)
 
 
+def near_documents(docs: DataFrame, floor: float = 0.75, rounds: int = 3) -> DataFrame:
+    """`(doc_id, near_id)` of every row: the smallest doc_id that is reachable by links of at least `floor` between fingerprints.
+
+    Equal fingerprints are one set. A set is listed under its rarest signatures, as many as any partner must share one of, in its partition of lengths and
+    the next. First every list's members are compared with one member, drawn anew in each of `rounds`, which joins groups of near copies
+    without their pairs; then the pairs of a list that are still in different groups are. Exact. Null texts count as empty; a null doc_id
+    links with nothing and has a null near_id; rows that repeat an id share what any of them links with; no rows give no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = written(fingerprints(rows, "text", "own").select("doc_id", "own"))
+    sets = written(own.where("doc_id IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("cid")).withColumn("n", F.size("own")))
+    each = sets.select("cid", "n", F.explode("own").alias("sig"))
+    shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(shared, "sig", "left").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sig"))).alias("by"))
+    prefix = F.slice("by", F.lit(1), F.col("n") - F.ceil(F.lit(floor) * F.col("n") - 1e-9).cast("int") + 1)
+    listed = ranked.select("cid", "n", F.posexplode(prefix).alias("pos", "x")).where("x.df > 1")
+    part = F.floor(F.log("n") / F.log(F.lit(1 / floor)) + 1e-9).cast("int")
+    listed = listed.select("cid", "n", "pos", F.col("x.sig").alias("sig"), part.alias("own_part"), F.explode(F.array(part, part + 1)).alias("part"))
+    lists = written(listed.withColumn("home", F.col("part") == F.col("own_part")).drop("own_part"))
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        """Pairs `(a, n, pos, b, m, at)` that sizes and positions allow, and whose fingerprints are near."""
+        least = F.lit(floor / (1 + floor)) * (F.col("n") + F.col("m")) - 1e-9
+        some = pairs.where(F.col("a") != F.col("b")).where(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"), "n", "m") >= least)
+        some = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        some = some.join(sets.select(F.col("cid").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("own").alias("y")), "b")
+        return some.where(likeness("x", "y", floor) >= floor - 1e-12).select("a", "b")
+
+    one, other = lists.select(F.col("cid").alias("a"), "n", "pos", "sig", "part", "home"), ["b", "m", "at"]
+    found = None
+    for r in range(rounds):
+        centre = lists.where("home").groupBy("sig", "part").agg(F.min_by(F.struct("cid", "n", "pos"), F.xxhash64("cid", F.lit(r))).alias("c"))
+        star = one.join(centre, ["sig", "part"]).select("a", "n", "pos", *[F.col(f"c.{x}").alias(y) for x, y in zip(("cid", "n", "pos"), other, strict=True)])
+        found = kept(star) if found is None else found.union(kept(star))
+    found = written(found.distinct())
+    group = written(connected_components(found, "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("grp")))
+    rest = lists.join(group, "cid", "left").withColumn("grp", F.coalesce("grp", "cid"))
+    open_ = rest.groupBy("sig", "part").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("sig", "part")
+    rest = written(rest.join(open_, ["sig", "part"]))
+    x = rest.select(F.col("cid").alias("a"), "n", "pos", "sig", "part", F.col("home").alias("h"), F.col("grp").alias("g"))
+    y = rest.where("home").select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), "sig", "part", F.col("grp").alias("k"))
+    pairs = x.join(y, ["sig", "part"]).where((F.col("g") != F.col("k")) & (~F.col("h") | (F.col("a") < F.col("b"))))
+    links = written(found.union(kept(pairs.select("a", "n", "pos", *other))))
+    near = connected_components(links, "a", "b").select(F.col("id").alias("cid"), "component")
+    named = sets.join(near, "cid", "left").select("own", F.coalesce("component", "cid").alias("near_id"))
+    lowest = own.where("doc_id IS NOT NULL").join(named, "own").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
+    return own.select("doc_id").join(lowest, "doc_id", "left")
+
+
 def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = 128) -> DataFrame:
     """Add `next_<c>` for each of `columns`: the value of the next row by ascending doc_id, then text; after the last, the first.
 
     Rows are dealt into ranges of ids (bounds from approximate quantiles, at most 4096 numbers); each range also gets a copy
-    of the first row of the range that follows, so every window is bounded and nothing is sorted as a whole. Null ids come first.
+    of the first id's rows of the range that follows, so nothing is sorted as a whole: a range holds about `bucket_rows` rows, and from 4096 ranges
+    on a 4096th of the table, which Spark sorts on disk where it must. Null ids come first.
     """
     n = docs.count()
     if n == 0:

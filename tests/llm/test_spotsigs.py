@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -60,6 +61,62 @@ def test_one_row_and_none(spark):
     assert spotsigs.spot_fingerprints(df.where(F.lit(False))).count() == 0
 
 
+def near_corpus():
+    rng = random.Random(5)
+    anchors = ["the", "of", "and", "is"]
+    word = lambda: rng.choice(anchors) if rng.random() < 0.4 else "w" + str(rng.randrange(400))
+    common = " ".join(word() for _ in range(40))
+    rows, bases = [], []
+    for i in range(260):
+        if bases and rng.random() < 0.6:
+            t = rng.choice(bases[:4] if rng.random() < 0.5 else bases).split()
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                t[rng.randrange(len(t))] = word()
+        else:
+            t = [word() for _ in range(rng.choice([4, 20, 60, 90]))] + (common.split() if rng.random() < 0.3 else [])
+            bases.append(" ".join(t))
+        rows.append((i, " ".join(t)))
+    return rows + [(500, None), (501, ""), (501, "the quick fox"), (None, rows[0][1]), (502, rows[0][1]), (503, "only words")]
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_near_documents_equal_brute_force(spark, rounds):
+    rows = near_corpus()
+    sets = [plain(t or "") for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if None not in (rows[i][0], rows[j][0]) and (jaccard(sets[i], sets[j]) >= 0.75) and not same_id:
+                up[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            want[d] = min(want.get(d, 1 << 60), low[find(i)])
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, own string").repartition(3)
+    got = spotsigs.near_documents(df, rounds=rounds).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.near_id if r.near_id is not None else -1) for r in got) == sorted((d if d is not None else -1, want.get(d, -1)) for d, _ in rows)
+    assert len(set(want.values())) < len(want) - 50
+    assert spotsigs.near_documents(df.where("false")).count() == 0
+
+
+def test_near_documents_are_found_without_python(spark):
+    df = spark.createDataFrame(near_corpus()[:40], "doc_id long, text string")
+    plan = spotsigs.near_documents(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(i, f"the cat {i} sat on a mat") for i in range(300)], "doc_id long, text string")
     plan = spotsigs.spot_fingerprints(df)._jdf.queryExecution().toString()
