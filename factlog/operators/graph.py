@@ -118,15 +118,18 @@ def connected_parts(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def hierarchy(edges: DataFrame, gamma: float = 1.0, levels: int = 10, rounds: int = 10) -> list[DataFrame]:
     """Passes of local moves, each community split into connected parts (Leiden's guarantee) and then contracted to a
-    node, until nothing merges. One `(id, community)` per pass over the original ids."""
+    node, until nothing merges or the modularity no longer grows: moves are made side by side, so a pass may lose, and then it does not
+    count. One `(id, community)` per pass over the original ids; the first always counts."""
     out: list[DataFrame] = []
-    graph, map_ = edges, None
+    graph, map_, best = edges, None, None
     for _ in range(levels):
         part = written(connected_parts(graph, _local_moves(graph, gamma, rounds)))
         whole = part if map_ is None else written(map_.join(part.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
-        if out and whole.select("community").distinct().count() == out[-1].select("community").distinct().count():
+        score = modularity(edges, whole, gamma).first()[0]
+        if out and (score is None or score <= best + 1e-12):
             break
         out.append(whole)
+        best = score
         map_ = whole
         a, b = part.select(F.col("id").alias("a"), F.col("community").alias("ca")), part.select(F.col("id").alias("b"), F.col("community").alias("cb"))
         graph = written(graph.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))

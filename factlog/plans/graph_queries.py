@@ -81,9 +81,10 @@ def g5_sound(s, d):
 
 
 def sound(s, d, members):
-    """Every node in one community, every community connected, and a modularity (at 1) that is above that of single nodes, which is below 0."""
+    """Every node in one community, every community connected, and a modularity (at 1) of at least 0, that of one community; that of single
+    nodes is below 0."""
     found = graph.faults(weighted(s, d), written(members))
-    return found.select("level", "nodes", "strays", "broken", (F.col("modularity") > 0).alias("gained"))
+    return found.select("level", "nodes", "strays", "broken", (F.col("modularity") >= -1e-9).alias("gained"))
 
 
 def weighted(s, d):
