@@ -62,9 +62,15 @@ def near_documents(docs: DataFrame, floor: float = 0.75, rounds: int = 3) -> Dat
     without their pairs; then the pairs of a list that are still in different groups are. Exact. Null texts count as empty; a null doc_id
     links with nothing and has a null near_id; rows that repeat an id share what any of them links with; no rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return ids.join(near_ids(docs, floor, rounds), "doc_id", "left")
+
+
+def near_ids(docs: DataFrame, floor: float = 0.75, rounds: int = 3) -> DataFrame:
+    """`near_documents` with one row for every id that is not null."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = written(fingerprints(rows, "text", "own").select("doc_id", "own"))
-    sets = written(own.where("doc_id IS NOT NULL").groupBy("own").agg(F.min("doc_id").alias("cid")).withColumn("n", F.size("own")))
+    sets = written(own.groupBy("own").agg(F.min("doc_id").alias("cid")).withColumn("n", F.size("own")))
     each = sets.select("cid", "n", F.explode("own").alias("sig"))
     shared = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(shared, "sig", "left").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sig"))).alias("by"))
@@ -99,8 +105,7 @@ def near_documents(docs: DataFrame, floor: float = 0.75, rounds: int = 3) -> Dat
     links = written(found.union(kept(pairs.select("a", "n", "pos", *other))))
     near = connected_components(links, "a", "b").select(F.col("id").alias("cid"), "component")
     named = sets.join(near, "cid", "left").select("own", F.coalesce("component", "cid").alias("near_id"))
-    lowest = own.where("doc_id IS NOT NULL").join(named, "own").groupBy("doc_id").agg(F.min("near_id").alias("near_id"))
-    return own.select("doc_id").join(lowest, "doc_id", "left")
+    return written(own.join(named, "own").groupBy("doc_id").agg(F.min("near_id").alias("near_id")))
 
 
 def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = 128) -> DataFrame:
@@ -142,20 +147,21 @@ def with_next(docs: DataFrame, columns: list[str], bucket_rows: int = 128) -> Da
 
 
 def spot_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint every row's whole text and its edited text, and compare.
+    """Fingerprint every row's whole text and its edited text, compare, and find all near documents.
 
     edited: the last floor(n_chars / 2) code points are replaced by as many (or all) of the next row's first. Returns
-    `(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures)`; a fingerprint is its
-    hashes in order, joined by commas. Null texts count as empty. Repeated rows and ids are rows like any other (the next
+    `(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, near_id)`; a fingerprint is its
+    hashes in order, joined by commas; near_id is that of `near_documents`. Null texts count as empty. Repeated rows and ids are rows like any other (the next
     of a repeated row is its repeat); a null doc_id comes first. Other columns are dropped; no rows give no rows.
     """
+    near = near_ids(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df = with_next(fingerprints(rows, "text", "own"), ["text", "own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)))
     df = fingerprints(df, "edited", "other")
-    return df.select(
+    out = df.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -165,3 +171,4 @@ def spot_fingerprints(docs: DataFrame) -> DataFrame:
         likeness("own", "next_own").alias("near_next"),
         F.size("own").cast("long").alias("n_signatures"),
     )
+    return out.join(near, "doc_id", "left")
