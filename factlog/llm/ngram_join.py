@@ -17,13 +17,13 @@ Sets are ordered by a hash of the shingle, and every step is exact:
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; a worker keeps at most 2**17."""
+    """64-bit hashes of words; a worker keeps at most 2**18."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 17:
+        if len(self) >= 1 << 18:
             self.clear()
         out = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -91,19 +91,26 @@ def shingle_sets(texts: list[str], width: int, hashes: WordHashes) -> Iterator[t
             lo, size = i + 1, 0
 
 
-def place(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _split(mixed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A bucket and a 32-bit place in it. Places that clash only make a shingle look shared: sets are kept, never lost."""
-    x = (mix(grams * _P) >> np.uint64(20)) * np.uint64(buckets)
+    x = (mixed >> np.uint64(20)) * np.uint64(buckets)
     return (x >> np.uint64(44)).astype(np.int32), ((x & np.uint64((1 << 44) - 1)) >> np.uint64(12)).astype(np.uint32)
 
 
+def sorted_places(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the shingles by bucket and place, and both in that order (which is that of the mixed numbers)."""
+    mixed = mix(grams * _P)
+    order = np.argsort(mixed)
+    return order, *_split(mixed[order], buckets)
+
+
 def _pack(places: np.ndarray, owners: np.ndarray) -> bytes:
     planes = np.diff(places, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zlib.compress(planes + owners.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+    return zstandard.compress(planes + owners.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8)
     n = len(planes) // 6
     places = np.cumsum(np.ascontiguousarray(planes[: 4 * n].reshape(4, n).T).view("<u4").ravel(), dtype=np.uint32)
     return places, np.ascontiguousarray(planes[4 * n :].reshape(2, n).T).view("<u2").ravel()
@@ -122,9 +129,8 @@ def _sets(docs: DataFrame, width: int, buckets: int, carry: list[str]) -> DataFr
             chunk = (task << 24) + seq
             flat = np.concatenate(grams)
             owner = np.repeat(np.arange(len(grams), dtype=np.uint16), [len(g) for g in grams])
-            bucket, at = place(flat, buckets)
-            order = np.lexsort((at, bucket))
-            bucket, at, owner = bucket[order], at[order], owner[order]
+            order, bucket, at = sorted_places(flat, buckets)
+            owner = owner[order]
             lists = [*stretches(bucket)]
             n, m = len(ids), len(lists)
             return pa.RecordBatch.from_pydict({
@@ -197,14 +203,14 @@ def _shared_counts(lists: DataFrame, buckets: int) -> DataFrame:
             ends = [*first[1:], len(code)]
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array(names[which], pa.int64()),
-                "hits": pa.array([zlib.compress((code[a:b] & 0xFFFF).astype("<u2").tobytes() + np.minimum(n[a:b], 65535).astype("<u2").tobytes(), 1) for a, b in zip(first, ends, strict=True)], pa.binary()),
+                "hits": pa.array([zstandard.compress((code[a:b] & 0xFFFF).astype("<u2").tobytes() + np.minimum(n[a:b], 65535).astype("<u2").tobytes(), 1) for a, b in zip(first, ends, strict=True)], pa.binary()),
             })
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_key(batches, "chunk"):
             total = np.zeros(1 << 16, np.int64)
             for raw in t.column("hits").to_pylist():
-                x = np.frombuffer(zlib.decompress(raw), "<u2")
+                x = np.frombuffer(zstandard.decompress(raw), "<u2")
                 total[x[: len(x) // 2]] += x[len(x) // 2 :]
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(some), t.column("chunk")[0].as_py())), "idx": pa.array(some.astype(np.int32)), "hits": pa.array(total[some])})
@@ -233,9 +239,8 @@ def _chunks(sets: DataFrame) -> DataFrame:
 
 def _sorted_places(grams: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """How a chunk's shingles are sorted by bucket and place, the places, and `(bucket, begin, end)` of every bucket that has some."""
-    bucket, at = place(np.frombuffer(grams, np.uint64), buckets)
-    order = np.lexsort((at, bucket))
-    return order, at[order], [*stretches(bucket[order])]
+    order, bucket, at = sorted_places(np.frombuffer(grams, np.uint64), buckets)
+    return order, at, [*stretches(bucket)]
 
 
 def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -253,7 +258,7 @@ def _frequencies(chunks: DataFrame, buckets: int) -> DataFrame:
             _, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
             df = np.minimum(n, 65535).astype("<u2")[back]
             ends = np.cumsum([len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), t.column("bucket").combine_chunks(), pa.array([zlib.compress(df[e - len(x) : e].tobytes(), 1) for e, x in zip(ends, parts, strict=True)], pa.binary())], ["chunk", "bucket", "df"])
+            yield pa.RecordBatch.from_arrays([t.column("chunk").combine_chunks(), t.column("bucket").combine_chunks(), pa.array([zstandard.compress(df[e - len(x) : e].tobytes(), 1) for e, x in zip(ends, parts, strict=True)], pa.binary())], ["chunk", "bucket", "df"])
 
     n = max(partitions(chunks.sparkSession), min(buckets, 20_000))
     return chunks.select("chunk", "grams").mapInArrow(ask, "bucket int, chunk long, places binary").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, df binary")
@@ -276,7 +281,7 @@ def _stars(chunks: DataFrame, buckets: int, percent: int) -> DataFrame:
             df = np.zeros(len(order), np.int64)
             for b, x, y in lists:
                 i = rows[b]
-                df[order[x:y]] = np.frombuffer(zlib.decompress(t.column("df")[i].as_py()), "<u2")
+                df[order[x:y]] = np.frombuffer(zstandard.decompress(t.column("df")[i].as_py()), "<u2")
             flat = np.frombuffer(grams, np.uint64)
             owner = np.repeat(np.arange(len(ids)), size)
             least = -(-percent * size // 100)
@@ -285,10 +290,9 @@ def _stars(chunks: DataFrame, buckets: int, percent: int) -> DataFrame:
             rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
             prefix = (rank < np.repeat(size - least + 1, size)) & np.repeat(shared, size) & (df[by_rarity] > 1)
             keep, rank = by_rarity[prefix], rank[prefix]
-            bucket, place_of = place(flat[keep], buckets)
-            sort = np.lexsort((place_of, bucket))
-            keep, rank, place_of = keep[sort], rank[sort], place_of[sort]
-            lists = [*stretches(bucket[sort])]
+            sort, bucket, place_of = sorted_places(flat[keep], buckets)
+            keep, rank = keep[sort], rank[sort]
+            lists = [*stretches(bucket)]
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([b for b, *_ in lists], pa.int32()),
                 "places": pa.array([place_of[x:y].tobytes() for _, x, y in lists], pa.binary()),
