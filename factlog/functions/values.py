@@ -116,9 +116,10 @@ def entropy(text) -> Column:
 def concepts(text) -> Column:
     """The sorted distinct concept tokens of a text: runs of letters, digits and _, lower-cased, trimmed of -_, at least three
     bytes, not all digits, no stopword."""
-    tokens = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"[^\p{L}\p{Nd}_]+"), lambda t: F.lower(F.regexp_replace(t, "^[-_]+|[-_]+$", "")))
-    kept = F.filter(tokens, lambda t: (F.octet_length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(STOPWORDS))
-    return F.array_sort(F.array_distinct(kept))
+    tokens = F.array_distinct(F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{Nd}_]+"))
+    trimmed = F.transform(tokens, lambda t: F.btrim(t, F.lit("-_")))
+    kept = F.filter(trimmed, lambda t: (F.octet_length(t) >= 3) & (F.translate(t, "0123456789", "") != ""))
+    return F.array_sort(F.array_except(kept, F.array(*[F.lit(w) for w in STOPWORDS])))
 
 
 def cosine(a, b) -> Column:
