@@ -57,31 +57,21 @@ def g3(s, d):
     return graph.pagerank(graph.semantic_graph(v.parts(s, d)), seeds).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("g4_leiden")
-def g4(s, d):
-    return graph.leiden(weighted(s, d))
-
-
-@query("g5_louvain")
-def g5(s, d):
-    return graph.louvain(weighted(s, d))
-
-
 _SOUND = "WITH p AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), n AS (SELECT count(DISTINCT x.p) AS nodes FROM p x JOIN p y ON x.l_orderkey = y.l_orderkey AND x.p <> y.p) SELECT level, nodes, 0 AS strays, 0 AS broken, true AS gained FROM n, (VALUES (0), (1), (2)) t(level)"
 
 
-@query("g4_leiden_sound", _SOUND)
-def g4_sound(s, d):
+@query("g4_leiden", _SOUND)
+def g4(s, d):
     return sound(s, d, graph.leiden(weighted(s, d)))
 
 
-@query("g5_louvain_sound", _SOUND)
-def g5_sound(s, d):
+@query("g5_louvain", _SOUND)
+def g5(s, d):
     return sound(s, d, graph.louvain(weighted(s, d)))
 
 
 def sound(s, d, members):
-    """Every node in one community, every community connected, and a modularity (at 1) of at least 0, that of one community; that of single
+    """What a partition must be, as SQL cannot make one: every node in one community, every community connected, and a modularity (at 1) of at least 0, that of one community; that of single
     nodes is below 0."""
     found = graph.faults(weighted(s, d), written(members))
     return found.select("level", "nodes", "strays", "broken", (F.col("modularity") >= -1e-9).alias("gained"))
@@ -166,12 +156,14 @@ def r1(s, d):
 
 
 def questions(s, d):
-    """The user turns of every conversation whose id is divisible by 20, whole, as queries, each with the vector of its conversation's number."""
-    t = v.table(s, d, "conversations").where("conv_id % 20 = 0 AND role = 'user'").select(F.concat_ws("-", F.concat(F.lit("q"), "conv_id"), "turn").alias("query_id"), "text", F.concat(F.lit("entry:"), "conv_id").alias("id"))
+    """The first user turn of every conversation whose id is divisible by 20, whole, as a query, with the vector of the conversation's number."""
+    t = v.table(s, d, "conversations").where("conv_id % 20 = 0 AND role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    t = t.select(F.concat(F.lit("q"), "conv_id").alias("query_id"), "text", F.concat(F.lit("entry:"), "conv_id").alias("id"))
     return t.join(v.vectors(s, d).select("id", "embedding"), "id").select("query_id", "text", "embedding")
 
 
-_WANTED = """q_tokens AS (SELECT 'q' || conv_id || '-' || turn AS query_id, unnest(list_transform(regexp_split_to_array(text, '[^\\p{L}\\p{Nd}_]+'), lambda t: lower(regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')))) AS token FROM conversations WHERE conv_id % 20 = 0 AND role = 'user' AND conv_id IN (SELECT vec_id FROM vectors)),
+_WANTED = """asked AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE conv_id % 20 = 0 AND role = 'user' AND conv_id IN (SELECT vec_id FROM vectors) GROUP BY conv_id),
+    q_tokens AS (SELECT 'q' || conv_id AS query_id, unnest(list_transform(regexp_split_to_array(text, '[^\\p{L}\\p{Nd}_]+'), lambda t: lower(regexp_replace(t, '^[-_]+|[-_]+$', '', 'g')))) AS token FROM asked),
     wanted AS (SELECT DISTINCT query_id, 'concept:' || token AS dst FROM q_tokens WHERE 'concept:' || token IN (SELECT dst FROM mentions)),
     shared AS (SELECT query_id, src AS id, count(*) AS shared FROM wanted JOIN mentions USING (dst) GROUP BY ALL),
     seeds AS (SELECT query_id, id, shared FROM shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) <= 5)"""
@@ -257,7 +249,7 @@ def r12(s, d):
 
 _RECALL = f""", {_WANTED}, both_ways AS (SELECT src, dst FROM mentions UNION SELECT dst, src FROM mentions), {ppr_sql('both_ways', 'seeds', 20)},
     ranked AS (SELECT * FROM s20 WHERE id LIKE 'entry:%'), q75 AS (SELECT query_id, score AS p75, n FROM (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM ranked) WHERE i = least(floor(0.75 * n), n - 1)),
-    cand AS (SELECT query_id, id, score AS ppr, p75, n, c.activation AS base, coalesce(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 0) AS sim FROM ranked JOIN q75 USING (query_id) JOIN current_states c ON c.e = ranked.id LEFT JOIN vectors x USING (id) JOIN vectors y ON y.vec_id = CAST(split_part(substr(query_id, 2), '-', 1) AS BIGINT) WHERE NOT evicted AND activation >= 0.0005),
+    cand AS (SELECT query_id, id, score AS ppr, p75, n, c.activation AS base, coalesce(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 0) AS sim FROM ranked JOIN q75 USING (query_id) JOIN current_states c ON c.e = ranked.id LEFT JOIN vectors x USING (id) JOIN vectors y ON y.vec_id = CAST(substr(query_id, 2) AS BIGINT) WHERE NOT evicted AND activation >= 0.0005),
     kept AS (SELECT *, 0.3 * base + 0.3 * ppr + 0.3 * sim AS score FROM cand WHERE sim >= 0.02 AND (sim >= 0.05 OR (CASE WHEN n >= 25 THEN ppr > p75 ELSE sim >= 0.02 - 0.15 * ppr END)) AND 0.7 * sim + 0.3 * ppr >= 0.03)
     SELECT query_id, id, round(score, 6) AS score FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"""
 
