@@ -173,16 +173,18 @@ def resolutions(text="text"):
     return F.when(~bad, values), F.when(bad, "BAD_RESOLUTIONS")
 
 
-def faults(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """What a partition `(level, id, community)` of a graph must not have, by level: nodes without or with several communities, and
-    communities that are not connected. `(level, nodes, strays, broken, modularity)`."""
+def faults(edges: DataFrame, members: DataFrame, gammas: list[float]) -> DataFrame:
+    """What a partition `(level, id, community)` of a graph must not have, by level: nodes without or with several communities (`strays`), and
+    communities that are not connected (`broken`); and `gain`, its modularity at the level's gamma over that of single nodes."""
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    single = nodes.select("id", F.col("id").alias("community"))
     out = None
-    for (level,) in sorted(members.select("level").distinct().collect()):
+    for level, gamma in enumerate(gammas):
         part = members.where(F.col("level") == level).select("id", "community")
         each = nodes.join(part.groupBy("id").agg(F.count("*").alias("n")), "id", "full").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("strays"))
         apart = connected_parts(edges, part).withColumnRenamed("community", "part").join(part, "id").groupBy("community").agg(F.countDistinct("part").alias("parts")).agg(F.count_if(F.col("parts") > 1).alias("broken"))
-        row = each.crossJoin(apart).crossJoin(modularity(edges, part)).select(F.lit(level).alias("level"), "*")
+        gain = modularity(edges, part, gamma).crossJoin(modularity(edges, single, gamma).withColumnRenamed("modularity", "least")).select((F.col("modularity") - F.col("least")).alias("gain"))
+        row = each.crossJoin(apart).crossJoin(gain).select(F.lit(level).alias("level"), "*")
         out = row if out is None else out.union(row)
     return out
 

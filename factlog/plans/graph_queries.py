@@ -62,19 +62,20 @@ _SOUND = "WITH p AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem),
 
 @query("g4_leiden", _SOUND)
 def g4(s, d):
-    return sound(s, d, graph.leiden(weighted(s, d)))
+    return sound(s, d, graph.leiden, [10.0, 5.0, 2.5])
 
 
 @query("g5_louvain", _SOUND)
 def g5(s, d):
-    return sound(s, d, graph.louvain(weighted(s, d)))
+    return sound(s, d, graph.louvain, [1.0] * 3)
 
 
-def sound(s, d, members):
-    """What a partition must be, as SQL cannot make one: every node in one community, every community connected, and a modularity (at 1) of at least 0, that of one community; that of single
-    nodes is below 0."""
-    found = graph.faults(weighted(s, d), written(members))
-    return found.select("level", "nodes", "strays", "broken", (F.col("modularity") >= -1e-9).alias("gained"))
+def sound(s, d, method, gammas):
+    """What a partition must be, as SQL cannot make one: every node in one community, every community connected, and a modularity that is not
+    below that of single nodes."""
+    edges = weighted(s, d)
+    found = graph.faults(edges, written(method(edges)), gammas)
+    return found.select("level", "nodes", "strays", "broken", (F.col("gain") >= -1e-9).alias("gained"))
 
 
 def weighted(s, d):
