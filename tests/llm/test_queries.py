@@ -51,7 +51,7 @@ WANT = {
     "op4_packing": lambda r: r.start + r.n_words <= len(TEXT[r.doc_id].split()) and r.room >= 0,
     "op5_quality": lambda r: 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5),
     "op6_ngram_join": lambda r: (r.n_shingles, r.component_id, r.n_links) == {None: (0, None, 0), 1: (0, 1, 0), 2: (2, 2, 1), 3: (2, 2, 1), 4: (1, 4, 0), 5: (5, 5, 0), 6: (1, 6, 0)}[r.doc_id],
-    "op7_spotsigs": lambda r: r.n_chars == len(TEXT[r.doc_id]) and r.near_id == {3: 2}.get(r.doc_id, r.doc_id) and 0 <= r.near_edited <= 1,
+    "op7_spotsigs": lambda r: r.n_chars == len(TEXT[r.doc_id]) and 0 <= r.near_edited <= 1,
     "op8_language_id": lambda r: (r.lang_pred == "und") == (r.doc_id in (None, 1)) and 0 <= r.score <= 1,
     "op9_bpe": lambda r: r.decoded_sha256 == sha(TEXT[r.doc_id]) and (r.n_tokens > 0 or r.ids_sha256 == sha("")),
     "op10_pitman_yor": lambda r: r.n_tokens == len(TEXT[r.doc_id].split()) + 1 and r.score < 0 and r.base_score < 0,
