@@ -478,7 +478,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75, carry: list[s
     spark, more = docs.sparkSession, [f"__carry{i}" for i, _ in enumerate(carry or [])]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast("long").alias(m) for c, m in zip(carry or [], more, strict=True)))
     total = docs.count()
-    buckets = max(64, -(-total // 2000))
+    buckets = min(1 << 18, max(64, -(-total // 2000)))  # a bucket and a place in it are cut out of 64 bits; 2**18 lists are enough for tasks of any corpus
     sets = written(_sets(docs, width, buckets, more))
     rows = sets.where("bucket IS NULL").select("chunk", "idx", "doc_id", "n", "k1", "k2", "n_words", *more)
     hits = _shared_counts(sets.where("bucket IS NOT NULL").select("chunk", "bucket", "packed"), buckets)

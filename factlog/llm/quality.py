@@ -117,7 +117,7 @@ def _chars(batch: pa.RecordBatch, n: int) -> list:
 def train(docs: DataFrame, labels: DataFrame, rows: int = 8192) -> Machine:
     """Fit on about `rows` labelled documents: a bounded sample of `labels` (doc_id, quality) by a hash of the id.
 
-    Without any labelled row the machine scores 0.5 everywhere.
+    Rows that repeat an id and its text count once. Without any labelled row the machine scores 0.5 everywhere.
     """
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, rows / max(labels.count(), 1))
@@ -132,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8192) -> Machine:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("quality").cast(pa.int32()), "at": pa.array([p for p, _ in parts], pa.binary()), "x": pa.array([p for _, p in parts], pa.binary())})
 
     # about `rows` ids and flags: small enough to broadcast whatever the size of the corpus
-    found = docs.join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, y int, at binary, x binary").toArrow().sort_by("doc_id")
+    # only the columns that are read meet the labels, so columns of any name may stand beside them
+    docs = docs.select("doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else []))
+    found = docs.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text"]).mapInArrow(run, "doc_id long, y int, at binary, x binary").toArrow().sort_by("doc_id")
     machine = Machine()
     if found.num_rows:
         at = [np.frombuffer(b, np.int32) for b in found.column("at").to_pylist()]

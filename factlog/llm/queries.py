@@ -31,7 +31,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).drop("n_words")
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

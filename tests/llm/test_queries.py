@@ -14,7 +14,7 @@ from factlog.llm import queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 #: Columns that operators make themselves, which a table may have too.
-CLASHES = "spans held_out score predicted n_shingles component_id n_links n_words n k1 k2 chunk bucket idx cid copies grams own other edited edited_sha256 next_text near_id h bits accepted lang_pred ids_sha256 n_tokens n_bytes n_known base_score kind place of x a b row shard cluster bin piece start position room size u w c p".split()
+CLASHES = "quality y at want spans held_out score predicted n_shingles component_id n_links n_words n k1 k2 chunk bucket idx cid copies grams own other edited edited_sha256 next_text near_id h bits accepted lang_pred ids_sha256 n_tokens n_bytes n_known base_score kind place of x a b row shard cluster bin piece start position room size u w c p".split()
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 ODD = [
     (None, None, None, None, None),
