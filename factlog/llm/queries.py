@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factlog.llm import bpe, embedding_dedup, language_id, ngram_join, oracles, packing, pii, pii_examples, pitman_yor, quality, spotsigs, token_counts
+from factlog.llm import bpe, embedding_dedup, host_rules, language_id, ngram_join, oracles, packing, pii, pii_examples, pitman_yor, quality, spelling, spotsigs, token_counts, whitening
 from factlog.llm.common import fold, table
 
 
@@ -50,5 +50,17 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.lm_scores(table(spark, sf_dir, "documents"), fold(2, 7))
 
 
-QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_spotsigs": op7_spotsigs, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_pitman_yor": op10_pitman_yor}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(table(spark, sf_dir, "documents")).drop("host_rules")
+
+
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_token_counts": op2_token_counts, "op3_pii": op3_pii, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_ngram_join": op6_ngram_join, "op7_spotsigs": op7_spotsigs, "op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_pitman_yor": op10_pitman_yor, "op11_whitening": op11_whitening, "op12_spelling": op12_spelling, "op13_host_rules": op13_host_rules}
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
