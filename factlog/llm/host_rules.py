@@ -95,8 +95,8 @@ def host_rates(rows: DataFrame) -> DataFrame:
     mean = F.col("all_failed") / F.col("all_n")
     spread = F.col("f2") - F.col("all_failed") * mean  # of the rates, weighted by the hosts' documents
     free, room = F.col("k") - 1, F.col("all_n") - F.col("n2") / F.col("all_n") - (F.col("k") - 1)
-    # the share of the variance that lies between the hosts, within bounds: the prior weighs 1 to 99 documents
-    share = F.greatest(F.lit(0.01), F.least(F.lit(0.5), F.coalesce((F.try_divide(spread, mean * (1 - mean)) - free) / F.when(room > 0, room), F.lit(0.0))))
+    # the share of the variance that lies between the hosts, within bounds: the prior weighs 10 to 99 documents
+    share = F.greatest(F.lit(0.01), F.least(F.lit(1 / 11), F.coalesce((F.try_divide(spread, mean * (1 - mean)) - free) / F.when(room > 0, room), F.lit(0.0))))
     prior = sums.select("rule", mean.alias("prior_rate"), (1 / share - 1).alias("prior_weight"))
     rate = (F.col("failed") + F.col("prior_weight") * F.col("prior_rate")) / (F.col("n") + F.col("prior_weight"))
     return hosts.join(F.broadcast(prior), "rule").select("source", "rule", "n", "failed", "prior_rate", "prior_weight", rate.alias("rate"))

@@ -47,17 +47,20 @@ OP12 = f"""WITH RECURSIVE tab AS MATERIALIZED (SELECT {_FOLD} AS t),
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
 
 OP13 = r"""WITH texts AS (SELECT row_number() OVER () AS k, doc_id, CAST(source AS VARCHAR) AS source, coalesce(text, '') AS text FROM documents),
- parts AS (SELECT k, doc_id, source, text, list_filter(string_split_regex(text, '[ 	-]+'), lambda w: w <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM texts),
+ parts AS (SELECT k, doc_id, source, text, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda w: w <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM texts),
  windows AS (SELECT k, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM parts)),
  again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM windows) WHERE c > 1),
  repeats AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM again, range(3) t(j) GROUP BY k),
- rows AS MATERIALIZED (SELECT k, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ rows AS MATERIALIZED (SELECT k, doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines FROM parts LEFT JOIN repeats USING (k)),
  fails AS (SELECT k, source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines', 'word_length']) AS rule, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 10 * n_dup_lines > 3 * n_lines,
    n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words)]) AS failed FROM rows WHERE source IS NOT NULL),
  hosts AS MATERIALIZED (SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS f FROM fails GROUP BY source, rule),
  sums AS (SELECT rule, count(*) AS hosts, sum(n) AS n, sum(f) / sum(n) AS m, sum(n * n) AS n2, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS spread FROM hosts GROUP BY rule),
- prior AS (SELECT rule, m, 1 / greatest(0.01, least(0.5, coalesce(CASE WHEN m * (1 - m) <> 0 AND n - n2 / n - (hosts - 1) > 0 THEN (spread / (m * (1 - m)) - (hosts - 1)) / (n - n2 / n - (hosts - 1)) END, 0))) - 1 AS weight FROM sums),
+ prior AS (SELECT rule, m, 1 / greatest(0.01::DOUBLE, least(1.0::DOUBLE / 11, coalesce(CASE WHEN m * (1 - m) <> 0 AND n - n2 / n - (hosts - 1) > 0 THEN (spread / (m * (1 - m)) - (hosts - 1)) / (n - n2 / n - (hosts - 1)) END, 0))) - 1 AS weight FROM sums),
  bad AS (SELECT DISTINCT source FROM (SELECT source, (f + weight * m) / (n + weight) AS rate, m FROM hosts JOIN prior USING (rule)) WHERE rate > 0.5 AND rate > 2 * m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept FROM rows"""

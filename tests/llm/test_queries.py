@@ -55,6 +55,7 @@ WANT = {
     "op8_language_id": lambda r: (r.lang_pred == "und") == (r.doc_id in (None, 1)) and 0 <= r.score <= 1,
     "op9_bpe": lambda r: r.decoded_sha256 == sha(TEXT[r.doc_id]) and (r.n_tokens > 0 or r.ids_sha256 == sha("")),
     "op10_pitman_yor": lambda r: r.n_tokens == len(TEXT[r.doc_id].split()) + 1 and r.score < 0 and r.base_score < 0,
+    "op13_host_rules": lambda r: r.n_words == len(TEXT[r.doc_id].split()) and r.base_failed == (r.doc_id != 5 or r.n_repeat_words > 1000) and not r.kept,
 }
 
 
@@ -62,6 +63,10 @@ WANT = {
 def test_odd_and_empty_tables(spark, tables, name):
     d, n = tables
     rows = queries.QUERIES[name](spark, d).collect()
+    if name in ("op11_whitening", "op12_spelling"):
+        # one vector has no variance; no text has a word of seven letters twice (the long runs are of one document each)
+        assert not [r for r in rows if name == "op11_whitening" or len(r.word) < 7 or r.n < 2]
+        return
     key = "vec_id" if name.startswith("op1_") else "doc_id"
     if name == "op4_packing":
         words = Counter()
