@@ -79,35 +79,6 @@ def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> Data
     return total.crossJoin(inside).crossJoin(ends).select((F.col("inside") / F.col("m") - gamma * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def _local_moves(edges: DataFrame, gamma: float, rounds: int) -> DataFrame:
-    """`(id, community)`: rounds of moves to the neighbouring community of the greatest gain. Each round only one half of the
-    nodes, by a hash, may move, so that neighbours don't swap; gains must be positive; ties go to the smallest id."""
-    both = edges.select("a", "b", "weight").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    degree = both.groupBy("a").agg(F.sum("weight").alias("k"))
-    total = degree.agg(F.sum("k")).first()[0] or 0
-    both = written(both)
-    at = written(degree.select(F.col("a").alias("id"), F.col("a").alias("community"), "k"))
-    still = 0
-    for r in range(rounds):
-        sums = at.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = both.where("a <> b").join(at.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("kin"))
-        own = at.select(F.col("id").alias("a"), F.col("community").alias("own"), "k")
-        here = own.select("a", F.col("own").alias("community"), F.lit(0).cast("double").alias("kin"))
-        gains = near.union(here).groupBy("a", "community").agg(F.sum("kin").alias("kin")).join(own, "a").join(sums, "community")
-        rest = F.when(F.col("community") == F.col("own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-        gains = gains.withColumn("gain", F.round(F.col("kin") - gamma * F.col("k") * rest / total, 9)).withColumn("stay", F.col("community") == F.col("own"))
-        best = gains.groupBy("a").agg(F.min_by("community", F.struct(-F.col("gain"), ~F.col("stay"), "community")).alias("to"))
-        mine = F.pmod(F.xxhash64("id", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = at.join(best.withColumnRenamed("a", "id"), "id").select("id", F.when(mine, F.col("to")).otherwise(F.col("community")).alias("community"), "k", (mine & (F.col("to") != F.col("community"))).alias("moved"))
-        old, moved = at, written(moved)
-        discard(old)
-        at = moved.select("id", "community", "k")
-        still = 0 if not moved.where("moved").isEmpty() else still + 1
-        if still == 2:  # neither half moves
-            break
-    return at.select("id", "community")
-
-
 def connected_parts(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Split every community into its connected parts; a part's name is its smallest member."""
     m = members.select("id", "community")
@@ -116,47 +87,6 @@ def connected_parts(edges: DataFrame, members: DataFrame) -> DataFrame:
     return m.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
-def hierarchy(edges: DataFrame, gamma: float = 1.0, levels: int = 10, rounds: int = 10) -> list[DataFrame]:
-    """Passes of local moves, each community split into connected parts (Leiden's guarantee) and then contracted to a
-    node, until nothing merges or the modularity no longer grows: moves are made side by side, so a pass may lose, and then it does not
-    count. One `(id, community)` per pass over the original ids; the first always counts."""
-    out: list[DataFrame] = []
-    graph, map_, best = edges, None, None
-    for _ in range(levels):
-        part = written(connected_parts(graph, _local_moves(graph, gamma, rounds)))
-        whole = part if map_ is None else written(map_.join(part.select(F.col("id").alias("community"), F.col("community").alias("to")), "community").select("id", F.col("to").alias("community")))
-        score = modularity(edges, whole, gamma).first()[0]
-        if out and (score is None or score <= best + 1e-12):
-            break
-        out.append(whole)
-        best = score
-        map_ = whole
-        a, b = part.select(F.col("id").alias("a"), F.col("community").alias("ca")), part.select(F.col("id").alias("b"), F.col("community").alias("cb"))
-        graph = written(graph.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    return out
-
-
-def leiden(edges: DataFrame, resolutions: list[float] = (10.0, 5.0, 2.5), passes: int = 10, rounds: int = 10) -> DataFrame:
-    """`(level, id, community)`: the last pass for each resolution; level 0 is the first, finest one."""
-    if not resolutions or any(r <= 0 for r in resolutions):
-        raise ValueError("resolutions must be positive")  # G14
-    parts = [hierarchy(edges, g, passes, rounds)[-1].select(F.lit(i).alias("level"), "id", "community") for i, g in enumerate(resolutions)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def louvain(edges: DataFrame, levels: int = 3, passes: int = 10, rounds: int = 10) -> DataFrame:
-    """One run; level i is pass min(i, last)."""
-    found = hierarchy(edges, 1.0, passes, rounds)
-    out = None
-    for i in range(levels):
-        p = found[min(i, len(found) - 1)].select(F.lit(i).alias("level"), "id", "community")
-        out = p if out is None else out.union(p)
-    return out
-
-
 def parse_resolutions(text: str) -> list[float]:
     """G14."""
     out = [float(x) for x in text.split(",") if x.strip()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factlog.functions import values
 from factlog.functions.constants import SECRET_RULES
-from factlog.operators import activation, state, write
+from factlog.operators import activation, projection, snapshots, state, write
 from factlog.plans import views as v
 from factlog.plans.views import sql
 from factlog.session import PREFIX, shared_dir
@@ -88,12 +88,27 @@ def s7(s, d):
     return log.collisions(shifted).select("tx", F.array_join("files", ",").alias("files"))
 
 
-@query("s8_append_check", sql("SELECT e AS grp, count(*) AS n, CASE WHEN count(DISTINCT tx) > 1 THEN 'MIXED_TX' WHEN count(*) FILTER (op = 'retract') > 0 THEN 'UNSEALED' WHEN min(tx) <= lpad('500', 26, '0') THEN 'TX_NOT_GREATER' END AS error FROM facts GROUP BY e", "facts"))
+@query("s8_append_check", sql(", g AS (SELECT e AS grp, count(*) AS n, min(tx) AS tx, CASE WHEN count(DISTINCT tx) > 1 THEN 'MIXED_TX' WHEN count(*) FILTER (op = 'retract') > 0 THEN 'UNSEALED' END AS shape FROM facts GROUP BY e), b AS (SELECT *, max(tx) FILTER (shape IS NULL) OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g) SELECT grp, n, CASE WHEN shape IS NOT NULL THEN shape WHEN tx <= greatest(lpad('500', 26, '0'), coalesce(before, '')) THEN 'TX_NOT_GREATER' END AS error FROM b", "facts"))
 def s8(s, d):
     f = log.seal(v.facts(s, d)).withColumn("checksum", F.when(F.col("op") != "retract", F.col("checksum")))
     return log.check_group(f.withColumn("grp", F.col("e")), "500".rjust(26, "0"))
 
 
+_GROUPS = "lpad(CAST(CAST(tx AS BIGINT) + 2 - 2 * (CAST(tx AS BIGINT) % 3) AS {}), 26, '0')"
+
+
+@query("s8_append", sql(f", g AS (SELECT *, {_GROUPS.format('VARCHAR')} AS grp FROM facts), b AS (SELECT *, max(tx) FILTER (op <> 'retract') OVER (ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g) SELECT tx, e, a, v FROM b WHERE op <> 'retract' AND (before IS NULL OR tx > before)", "facts"))
+def s8_append(s, d):
+    """Every fact is a group; in each three of them the last comes first, so two of three are late, and retractions come unsealed. Three batches, one of them sent twice."""
+    f = log.seal(v.facts(s, d)).drop("file").withColumn("checksum", F.when(F.col("op") != "retract", F.col("checksum"))).withColumn("grp", F.expr(_GROUPS.format("STRING")))
+    table = log.FactTable(s, f"{shared_dir(s).rstrip('/')}/{PREFIX}log-{uuid.uuid4().hex}")
+    for batch, (low, high) in enumerate([("0", "1998"), ("1998", "3999"), ("3999", "9" * 26)]):
+        part = f.where((F.col("tx") >= low.rjust(26, "0")) & (F.col("tx") < high.rjust(26, "0")))
+        for _ in range(1 + (batch == 1)):
+            table.append(part, batch)
+    return table.read().select("tx", "e", "a", "v")
+
+
 @query("s9_merge", sql("SELECT tx, e, a, v FROM facts WHERE file IN ('segment2', 'segment3')", "facts"))
 def s9(s, d):
     f = v.facts(s, d)
@@ -261,6 +276,27 @@ def h3(s, d):
     return state.latest(state.as_of(v.facts(s, d), "700".rjust(26, "0")))
 
 
+@query("h3_snapshots", sql(", last AS (SELECT e, a, arg_max(v, tx) AS v, arg_max(op, tx) AS op, max(tx) AS tx FROM facts WHERE tx <= lpad('700', 26, '0') GROUP BY e, a) SELECT e, a, v, tx FROM last WHERE op <> 'retract'", "facts"))
+def h3_snapshots(s, d):
+    """The same read from snapshots, which the log reached in two steps."""
+    f = v.facts(s, d)
+    n = f.count()
+    kept = snapshots.Snapshots(s, f"{shared_dir(s).rstrip('/')}/{PREFIX}snapshots-{uuid.uuid4().hex}", max(100, n // 5))
+    kept.extend(f.where(F.col("tx") <= "650".rjust(26, "0")))
+    kept.extend(f)
+    return kept.as_of("700".rjust(26, "0"))
+
+
+@query("p13_projection", sql(", last AS (SELECT e, a, arg_max(v, tx) AS v, arg_max(op, tx) AS op, max(tx) AS tx FROM facts GROUP BY e, a) SELECT e, a, v, tx, (SELECT max(tx) FROM facts) AS watermark, '100' AS first, (SELECT CAST(count(*) - 101 AS VARCHAR) FROM facts) AS scanned FROM last WHERE op <> 'retract'", "facts"))
+def p13_projection(s, d):
+    """A rebuild up to a tx, then a replay of the rest by the stored watermark: latest values, watermark and counters as they are published together."""
+    f = v.facts(s, d)
+    p = projection.Projection(s, f"{shared_dir(s).rstrip('/')}/{PREFIX}projection-{uuid.uuid4().hex}")
+    one = p.rebuild(state.as_of(f, "100".rjust(26, "0")))
+    two = p.heal(f)
+    return p.latest().select("*", F.lit(p.watermark()).alias("watermark"), F.lit(str(int(one.values["watermark"]))).alias("first"), F.lit(two.values["scanned"]).alias("scanned"))
+
+
 @query("a1_state", sql("SELECT e, encoding_at, base_activation, retrieval_count, last_retrieved_at, evicted FROM states", "states"))
 def a1(s, d):
     return activation.state(v.activation_facts(s, d)).drop("pinned", "pin_activation").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("encoding_at", "last_retrieved_at")})

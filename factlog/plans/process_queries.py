@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factlog.operators import evaluate, graph, ingest, promote, recall, subjects
@@ -492,8 +494,6 @@ _STREAM = "tx string, ts string, actor string, op string, e string, a string, v
 
 
 def stream_source(s, d) -> tuple[str, str]:
-    import uuid
-
     base = f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
     v.facts(s, d).repartitionByRange(3, "tx").write.parquet(f"{base}/in")
     return f"{base}/in", base
@@ -502,10 +502,9 @@ def stream_source(s, d) -> tuple[str, str]:
 @query("st1_state_view", sql(_FOLD, "facts"))
 def st1(s, d):
     source, base = stream_source(s, d)
-    view = streams.StateView(f"{base}/view")
-    q = view.start(streams.facts_stream(s, source, _STREAM, 1), f"{base}/checkpoint")
-    q.awaitTermination()
-    return view.read(s, q)
+    view = streams.StateView(s, f"{base}/view", buckets=8)
+    view.start(streams.facts_stream(s, source, _STREAM, 1), f"{base}/checkpoint").awaitTermination()
+    return view.state()
 
 
 @query("st2_latest_stream", sql(_FOLD, "facts"))
@@ -522,6 +521,23 @@ def st2(s, d):
     return s.read.parquet(f"{base}/out{out[-1]}")
 
 
+@query("st2_activation", sql("SELECT e, encoding_at, base_activation, retrieval_count, last_retrieved_at, evicted FROM states", "states"))
+def st2_activation(s, d):
+    """Activation as keyed state of a stream of three files, one a batch; the last row that it gave of every entity."""
+    base = f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    v.activation_facts(s, d).repartitionByRange(3, "tx").write.parquet(f"{base}/in")
+
+    def keep(batch, n):
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/{n}")
+
+    stream = streams.activation_stream(streams.facts_stream(s, f"{base}/in", "tx string, e string, op string, a string, v string", 1))
+    streams.run_activation(stream, keep, f"{base}/checkpoint")
+    rows = s.read.option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    last = rows.groupBy("e").agg(F.max_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*")
+    found = streams.state_of(last).drop("pinned", "pin_activation")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("encoding_at", "last_retrieved_at")})
+
+
 @query("st3_validation", sql("SELECT CASE WHEN a = 'error' THEN 'UNKNOWN_KIND' WHEN a = 'click' THEN 'SECRET_DETECTED' ELSE 'accepted' END AS outcome, count(*) AS n FROM facts GROUP BY 1", "facts"))
 def st3(s, d):
     source, base = stream_source(s, d)

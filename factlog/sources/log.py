@@ -5,12 +5,16 @@ A log is a DataFrame `(file, line_no, line)`; facts have the columns of `FACT_SC
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.constants import FACT_COLUMNS
 from factlog.functions.values import canonical_body, sealed_line, tx_day
+from factlog.session import written
+from factlog.sources.versions import Version, Versions
 
 _SCALARS = ", ".join(f"{c} string" for c in [*[c for c in FACT_COLUMNS if c != "v"], "checksum"])
 
@@ -61,13 +65,21 @@ def verify(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ok", (found != "") & (F.sha2(rest.cast("binary"), 256) == found))
 
 
-def faults(lines: DataFrame) -> DataFrame:
-    """The first fault of every segment: BAD_JSON, BAD_CHECKSUM, TX_ORDER or NO_NEWLINE (last line only)."""
-    tx = F.get_json_object("line", "$.tx")
+def faults(lines: DataFrame, block: int = 100_000) -> DataFrame:
+    """The first fault of every segment: BAD_JSON, BAD_CHECKSUM, TX_ORDER or NO_NEWLINE (last line only).
+
+    Lines are compared inside blocks of `block` numbers; the first line of a block is compared with the last one of the block before, so a segment
+    of any length is many tasks.
+    """
     ended = F.col("ended") if "ended" in lines.columns else F.lit(True)
-    w = Window.partitionBy("file").orderBy("line_no")
-    marked = verify(lines).withColumn("tx", tx).withColumn("before", F.lag("tx").over(w)).withColumn("last", F.lead("line_no").over(w).isNull())
-    fault = F.when(F.col("tx").isNull(), "BAD_JSON").when(~F.col("ok"), "BAD_CHECKSUM").when(F.col("tx") < F.col("before"), "TX_ORDER").when(F.col("last") & ~ended, "NO_NEWLINE")
+    at = F.floor(F.col("line_no") / block)
+    marked = verify(lines).select("file", "line_no", "ok", ended.alias("ended"), F.get_json_object("line", "$.tx").alias("tx"), at.alias("at"))
+    ends = marked.groupBy("file", "at").agg(F.max("line_no").alias("top"), F.max_by(F.struct("tx"), "line_no").alias("end"))
+    by_file = Window.partitionBy("file").orderBy("at")  # a row a block
+    ends = ends.select("file", "at", F.lag("end").over(by_file).alias("end"), F.when(F.lead("at").over(by_file).isNull(), F.col("top")).alias("last_line"))
+    inside = F.lag(F.struct("tx")).over(Window.partitionBy("file", "at").orderBy("line_no"))
+    marked = marked.withColumn("inside", inside).join(ends, ["file", "at"]).withColumn("before", F.coalesce("inside", "end")["tx"])
+    fault = F.when(F.col("tx").isNull(), "BAD_JSON").when(~F.col("ok"), "BAD_CHECKSUM").when(F.col("tx") < F.col("before"), "TX_ORDER").when((F.col("line_no") == F.col("last_line")) & ~F.col("ended"), "NO_NEWLINE")
     return marked.withColumn("fault", fault).where("fault IS NOT NULL").groupBy("file").agg(F.min("line_no").alias("line_no"), F.min_by("fault", "line_no").alias("fault"))
 
 
@@ -81,16 +93,62 @@ def collisions(facts: DataFrame) -> DataFrame:
     return facts.groupBy("tx").agg(F.array_sort(F.collect_set("file")).alias("files")).where(F.size("files") > 1)
 
 
-def check_group(facts: DataFrame, last_tx: str | None) -> DataFrame:
-    """One row per tx group with the reason why it can't be appended, or null. A group is the rows of one `grp`."""
-    by = facts.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("tx").alias("txs"), F.count_if(F.col("checksum").isNull()).alias("unsealed"), F.min("tx").alias("tx"))
-    late = F.col("tx") <= F.lit(last_tx) if last_tx is not None else F.lit(False)
-    return by.select("grp", "n", F.when(F.col("txs") > 1, "MIXED_TX").when(F.col("unsealed") > 0, "UNSEALED").when(late, "TX_NOT_GREATER").alias("error"))
+def check_group(facts: DataFrame, last_tx: str | None, ranges: int = 64) -> DataFrame:
+    """One row per tx group with the reason why it can't be appended, or null. A group is the rows of one `grp`; groups come in the order of their names.
 
-
-def append(facts: DataFrame, path: str) -> None:
-    """Append facts as Parquet, partitioned by the day of their tx."""
-    facts.withColumn("tx_day", tx_day("tx")).repartition("tx_day").sortWithinPartitions("e", "tx").write.mode("append").partitionBy("tx_day").parquet(path)
+    A group's tx must be greater than `last_tx` and than that of every sound group before it in the same batch. The greatest tx before a group is a prefix
+    maximum: groups are sorted into ranges, each range gives one maximum, and a window runs inside a range only.
+    """
+    by = facts.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("tx").alias("txs"), F.count_if(F.col("checksum").isNull()).alias("unsealed"), F.min("tx").alias("tx"))
+    shape = F.when(F.col("txs") > 1, "MIXED_TX").when(F.col("unsealed") > 0, "UNSEALED")
+    by = written(by.select("grp", "n", "tx", shape.alias("shape")).repartitionByRange(ranges, "grp").withColumn("range", F.spark_partition_id()))
+    sound = F.when(F.col("shape").isNull(), F.col("tx"))
+    tops = by.groupBy("range").agg(F.max(sound).alias("top"))  # one row a range
+    earlier = tops.withColumn("above", F.max("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("range", "above")
+    here = F.max(sound).over(Window.partitionBy("range").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(here, "above", F.lit(last_tx).cast("string"))
+    marked = by.join(F.broadcast(earlier), "range").withColumn("before", before)
+    return marked.select("grp", "n", F.coalesce("shape", F.when(F.col("tx") <= F.col("before"), "TX_NOT_GREATER")).alias("error"))
+
+
+class FactTable:
+    """A log of facts as Parquet under `path`, appended batch by batch. A batch is one folder, there from the moment that its write was committed; its number
+    makes an append repeatable: the same number again adds nothing, and one that failed half way is written anew."""
+
+    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 2_000_000):
+        self.versions, self.rows_per_file = Versions(spark, path), rows_per_file
+
+    def read(self) -> DataFrame:
+        """All facts, with `tx_day` as the partition."""
+        now = self.versions.current()
+        if now is None:
+            raise FileNotFoundError("nothing was appended yet")
+        return self.versions.spark.read.option("basePath", f"{self.versions.path}/data").parquet(*now.folders("facts")).drop("batch")
+
+    def last_tx(self) -> str | None:
+        now = self.versions.current()
+        return now.values["last_tx"] if now else None
+
+    def append(self, facts: DataFrame, batch: int) -> DataFrame:
+        """Append the sound groups of a batch `(grp, fact columns, checksum)` and return `check_group`'s rows: what was refused and why. Facts are clustered by entity
+        within a day, and a day is dealt over as many files as its rows need, so a batch of one day uses many tasks."""
+        now = self.versions.current() or Version(-1, {}, {"last_tx": None})
+        report = written(check_group(facts, now.values["last_tx"]))
+        if batch <= now.number:
+            return report
+        good = facts.join(report.where("error IS NULL").select("grp"), "grp", "left_semi").drop("grp").withColumn("tx_day", tx_day("tx"))
+        days = good.groupBy("tx_day").agg(F.ceil(F.count("*") / self.rows_per_file).cast("int").alias("files"), F.max("tx").alias("last")).collect()  # a row a day
+        last = max((r["last"] for r in days), default=None)
+        places = dict(now.places)
+        if days:
+            folder = f"{self.versions.path}/data/batch={batch}-{uuid.uuid4().hex}"
+            files = self.versions.spark.createDataFrame([(r["tx_day"], r["files"]) for r in days], "tx_day date, files int")
+            dealt = good.join(F.broadcast(files), "tx_day").withColumn("file", F.pmod(F.xxhash64("e"), F.col("files")))
+            dealt = dealt.repartition(min(sum(r["files"] for r in days), 20_000), "tx_day", "file").drop("file", "files")
+            dealt.sortWithinPartitions("tx_day", "e", "tx").write.partitionBy("tx_day").parquet(folder)
+            places["facts", batch] = folder
+        self.versions.publish(Version(batch, places, {"last_tx": max(filter(None, (last, now.values["last_tx"])), default=None)}))
+        return report
 
 
 def merge_new(external: DataFrame, own: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlog.functions import hooks, values
-from factlog.operators import graph, recall, state, write
+from factlog.operators import communities, graph, recall, state, write
 from factlog.operators.components import connected_components
 from factlog.sources import log
 from factlog.streaming import streams
@@ -107,7 +107,7 @@ def two_cliques(spark):
 
 def test_communities_of_two_cliques(spark):
     e = two_cliques(spark)
-    found = graph.leiden(e, [1.0], passes=2, rounds=4)
+    found = communities.leiden(e, [1.0])
     groups = {}
     for r in found.collect():
         groups.setdefault(r.community, set()).add(r.id)
@@ -283,10 +283,9 @@ def test_embedder_default_is_unit_length(spark):
 def test_streaming_state_equals_batch(spark, tmp_path):
     f = facts(spark, ROWS)
     f.repartitionByRange(3, F.desc("tx")).write.parquet(str(tmp_path / "in"))
-    view = streams.StateView(str(tmp_path / "view"))
-    q = view.start(streams.facts_stream(spark, str(tmp_path / "in"), FACTS), str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert sorted(map(tuple, view.read(spark, q).collect())) == sorted(map(tuple, state.fold(f).collect()))
+    view = streams.StateView(spark, str(tmp_path / "view"), buckets=4)
+    view.start(streams.facts_stream(spark, str(tmp_path / "in"), FACTS), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(map(tuple, view.state().collect())) == sorted(map(tuple, state.fold(f).collect()))
 
 
 def test_core_imports_nothing_of_the_optional_part():
