@@ -168,27 +168,37 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def index_quantile(values: DataFrame, q: float, range_rows: int = 100_000) -> DataFrame:
-    """Per query the value at index int(q * n) of the ascending order, without interpolation. `(query_id, value, n)`.
+    """Per query the value at index int(q * n) of the ascending order, without interpolation. `(query_id, value, n)`."""
+    n = values.groupBy("query_id").agg(F.count("*").alias("n"))
+    at = n.select("query_id", F.array(F.least(F.floor(q * F.col("n")), F.col("n") - 1)).alias("at"))
+    return value_at(values, at, range_rows).select("query_id", "value", "n")
+
+
+def value_at(values: DataFrame, wanted: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """`(query_id, value, n, at)`: per query the values at some indices of the ascending order (from 0), given as arrays `(query_id, at)`.
 
     Queries of up to `range_rows` rows are ranked whole. Where there are larger ones, values are first counted by ranges (whose bounds are
-    approximate quantiles of the query), and only the range that holds the index is ranked: the bounds decide who is ranked, no result.
+    approximate quantiles of the query), and only ranges that hold an index are ranked: the bounds decide who is ranked, no result.
     """
     n = values.groupBy("query_id").agg(F.count("*").alias("n"))
     most = n.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    at = F.least(F.floor(q * F.col("n")), F.col("n") - 1)
-    df = values.select("query_id", "value").join(n.withColumn("at", at), "query_id")
+    df = values.select("query_id", "value").join(n.join(wanted.select("query_id", F.array_distinct("at").alias("at")), "query_id"), "query_id")
     if most > range_rows:
         points = min(512, int(2 * most // range_rows))
         bounds = values.groupBy("query_id").agg(F.array_distinct(F.percentile_approx("value", [i / points for i in range(1, points)], 20 * points)).alias("bounds"))
         df = df.join(bounds, "query_id").withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")
         counts = df.groupBy("query_id", "range").agg(F.count("*").alias("rows"), F.first("at").alias("at"))
         before = F.sum("rows").over(Window.partitionBy("query_id").orderBy("range")) - F.col("rows")
-        holds = counts.withColumn("before", before).where("at >= before AND at < before + rows").select("query_id", "range", "before")
-        df = df.join(holds, ["query_id", "range"]).withColumn("at", F.col("at") - F.col("before"))
+        inside = F.filter("at", lambda a: (a >= F.col("before")) & (a < F.col("before") + F.col("rows")))
+        holds = counts.withColumn("before", before).withColumn("here", F.transform(inside, lambda a: a - F.col("before"))).where(F.size("here") > 0).select("query_id", "range", "before", "here")
+        df = df.drop("at").join(holds, ["query_id", "range"]).withColumnRenamed("here", "at")
+    else:
+        df = df.withColumn("range", F.lit(0)).withColumn("before", F.lit(0).cast("long"))
     # equal values are one row of the ranking
-    each = df.groupBy("query_id", "value").agg(F.count("*").alias("rows"), F.first("at").alias("at"), F.first("n").alias("n"))
-    before = F.sum("rows").over(Window.partitionBy("query_id").orderBy("value")) - F.col("rows")
-    return each.withColumn("before", before).where("at >= before AND at < before + rows").select("query_id", "value", "n")
+    each = df.groupBy("query_id", "range", "value").agg(F.count("*").alias("rows"), F.first("at").alias("at"), F.first("n").alias("n"), F.first("before").alias("before"))
+    low = F.sum("rows").over(Window.partitionBy("query_id", "range").orderBy("value")) - F.col("rows")
+    hit = F.filter("at", lambda a: (a >= F.col("low")) & (a < F.col("low") + F.col("rows")))
+    return each.withColumn("low", low).withColumn("at", hit).where(F.size("at") > 0).select("query_id", "value", "n", F.explode("at").alias("i"), "before").select("query_id", "value", "n", (F.col("before") + F.col("i")).alias("at"))
 
 
 def gate_stage(sim, ppr, p75, n, gate: Gate) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlog.functions.values import subject_error
+from factlog.operators.recall import value_at
 
 _row = lambda a, v, op="add": F.struct(F.lit(op).alias("op"), F.lit(a).alias("a"), v.cast("string").alias("v"))
 
@@ -45,8 +46,15 @@ def retract_facts(requests: DataFrame, edges: DataFrame | None = None) -> DataFr
 
 
 def escalations(found: DataFrame, frames: DataFrame, q: float = 0.9) -> DataFrame:
-    """M5: contradicted frames `(frame_id)` that are cross-project or over the q-quantile of all frames' activation."""
-    cut = frames.agg(F.percentile("activation", F.lit(q)).alias("cut"))
+    """M5: contradicted frames `(frame_id)` that are cross-project or over the q-quantile of all frames' activation (between two values, by their distance).
+
+    The quantile comes from the values at the two indices next to q (n - 1), which `value_at` finds by ranges: no task holds all values.
+    """
+    values = frames.where("activation IS NOT NULL").select(F.lit(0).alias("query_id"), F.col("activation").alias("value"))
+    at = values.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", (F.lit(float(q)) * (F.col("n") - 1)).alias("at"))
+    ends = value_at(values, at.select("query_id", F.array(F.floor("at"), F.ceil("at")).alias("at")))
+    low, high, share = F.min("value"), F.max("value"), F.first("share")
+    cut = ends.join(at.select("query_id", (F.col("at") - F.floor("at")).alias("share")), "query_id").agg((low + (high - low) * share).alias("cut"))
     return found.select("frame_id").distinct().join(frames, "frame_id").crossJoin(F.broadcast(cut)).where("cross_project OR activation > cut").select("frame_id", "cross_project", "activation")
 
 
