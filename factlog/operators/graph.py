@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.values import membership_hash
 from factlog.operators.components import connected_components
-from factlog.session import cut, discard, written
+from factlog.session import cut, partitions, written
 
 
 def semantic_graph(edges: DataFrame, direction: str = "undirected") -> DataFrame:
@@ -29,45 +32,142 @@ def comentions(mentions: DataFrame, least: int = 2, most: int = 50) -> DataFrame
     return m.select(F.col("src").alias("a"), "dst").join(m.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-BLOCK = 64  # queries whose scores stand side by side in one row
-HUB = 50_000  # edges of a source beyond which they are dealt over several keys
+BLOCK = 128  # queries whose scores stand side by side in one matrix
+CELL = 250_000  # edges that a group of a round holds
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4) -> DataFrame:
+def _numbered(edges: DataFrame, seeds: DataFrame, parts: int) -> DataFrame:
+    """`(id, part, local)`: the nodes, those of seeds alone included, dealt into parts by a hash and counted inside each."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(seeds.select("id")).distinct().repartition(parts, "id")
+    number = F.monotonically_increasing_id()  # of a partition: its number, then 33 bits of a count
+    return written(ids.withColumn("n", number)).select("id", F.shiftright("n", 33).cast("int").alias("part"), F.col("n").bitwiseAND((1 << 33) - 1).cast("int").alias("local"))
+
+
+def _cells(edges: DataFrame, nodes: DataFrame, damping: float) -> tuple[DataFrame, list[int]]:
+    """The edges `(part, salt, src, dst, w)`, packed and sorted by their target, and over how many salts the edges of each part are dealt: a part's scores go
+    to all of its salts, so a hub's edges are many groups."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("n"))
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("part").alias(end + "_part"), F.col("local").alias(end + "_local"))
+    e = edges.join(degree, "src").join(at("src"), "src").join(at("dst"), "dst")
+    e = written(e.select(F.col("src_part").alias("part"), F.col("src_local").alias("src"), (F.shiftleft(F.col("dst_part").cast("long"), 32) + F.col("dst_local")).alias("dst"), (F.lit(damping) / F.col("n")).alias("w")))
+    load = {r["part"]: r["n"] for r in e.groupBy("part").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n")).collect()}  # a row for CELL edges or less
+    salts = [load.get(i, 1) for i in range(max(load, default=0) + 1)]
+    dealt = e.withColumn("salt", F.pmod(F.xxhash64("dst"), F.element_at(F.lit(salts), F.col("part") + 1)).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, salt, src, dst, w = (batch.column(c).to_numpy() for c in ("part", "salt", "src", "dst", "w"))
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (salt[1:] != salt[:-1])) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                if y > x:
+                    yield pa.RecordBatch.from_pydict({"part": part[x : x + 1], "salt": salt[x : x + 1], "src": [src[x:y].tobytes()], "dst": [dst[x:y].tobytes()], "w": [w[x:y].tobytes()]})
+
+    packed = dealt.repartition("part", "salt").sortWithinPartitions("part", "salt", "dst").mapInArrow(pack, "part int, salt int, src binary, dst binary, w binary")
+    return written(packed), salts
+
+
+def _sent(targets: np.ndarray, x: np.ndarray, salts: list[int]) -> pa.Table:
+    """Rows `(part, salt, ids, x)` that take sums to the parts of their nodes. targets: sorted, part and number."""
+    rows = []
+    part = targets >> 32
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True):
+        if b > a:
+            ids, raw, p = (targets[a:b] & 0xFFFFFFFF).astype(np.int32).tobytes(), x[a:b].tobytes(), int(part[a])
+            rows += [(p, salt, ids, raw) for salt in range(salts[p] if p < len(salts) else 1)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table({"part": pa.array(columns[0], pa.int32()), "salt": pa.array(columns[1], pa.int32()), "ids": pa.array(columns[2], pa.binary()), "x": pa.array(columns[3], pa.binary())})
+
+
+def _scores(sums: pa.Table, slots: int, nodes: int = 0) -> np.ndarray:
+    """The scores of a part's nodes, from what was sent to it."""
+    ids, xs = sums.column("ids").to_pylist(), sums.column("x").to_pylist()
+    ids = [np.frombuffer(i, np.int32) for i in ids]
+    out = np.zeros((max(nodes, *(int(i.max()) + 1 for i in ids), 0) if ids else nodes, slots))
+    for i, x in zip(ids, xs, strict=True):
+        out[i] += np.frombuffer(x).reshape(-1, slots)  # a row names a node once
+    return out
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
     """`(query_id, id, score)` of all queries' seeds `(query_id, id)` at once: s = (1 - d) [seed] + d * sum(s_u / outdegree_u).
 
-    A row is a node and a block of queries, whose scores are its columns, so an edge is joined once a round for the whole block and sums are
-    taken before the shuffle. Edges keep one partitioning; those of a hub are dealt over several keys. Tables are written every few rounds.
+    Nodes are dealt into parts, and a round is one shuffle: the edges of each part stay where they are, the sums of the last round come to them, and what
+    leaves a part is summed by target before it is sent. Scores of BLOCK queries are a row of a matrix, so an edge is read once a round for all
+    of them. A part with many edges is dealt over several groups, which all get its scores. Tables are written every few rounds.
     Nodes that no seed reaches have no row.
     """
     spark = edges.sparkSession
-    degree = edges.groupBy("src").agg(F.count("*").alias("n"))
-    splits = F.ceil(F.col("n") / HUB).cast("int")
-    e = written(edges.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), splits).cast("int").alias("salt"), "dst", (F.lit(damping) / F.col("n")).alias("w")))
-    hubs = written(degree.where(F.col("n") > HUB).select(F.col("src").alias("id"), splits.alias("splits")))
-    dealt = not hubs.isEmpty()
-    e = e.repartition("src", "salt").persist()
+    edges = written(edges.select("src", "dst"))
+    parts = max(partitions(spark), -(-edges.count() // CELL))
+    nodes = _numbered(edges, seeds, parts)
+    cells, salts = _cells(edges, nodes, damping)
+    cells = cells.repartition(max(partitions(spark), min(sum(salts), 20_000)), "part", "salt").persist()
     queries = written(seeds.select("query_id").distinct())
-    queries = written(queries.repartition(1 + queries.count() // (BLOCK * 1000)).withColumn("number", F.monotonically_increasing_id()))
-    slots = [f"s{j}" for j in range(min(BLOCK, queries.count()))]
-    slot = F.pmod("number", F.lit(BLOCK))
-    own = [F.max(F.when(slot == j, 1 - damping).otherwise(0.0)).alias(c) for j, c in enumerate(slots)]
-    start = written(seeds.select("query_id", "id").distinct().join(queries, "query_id").groupBy(F.floor(F.col("number") / BLOCK).alias("block"), "id").agg(*own)) if slots else None
-    if start is None:
-        e.unpersist()
-        return seeds.select("query_id", "id", F.lit(0.0).alias("score")).where("false")
+    n = queries.count()
+    queries = written(queries.repartition(1 + n // 100_000).withColumn("number", F.monotonically_increasing_id()))
+    # queries in the order of their numbers, BLOCK at a time; numbers of a partition follow each other
+    queries = queries.select("query_id", F.floor(F.pmod("number", F.lit(1 << 33)) / BLOCK).alias("low"), F.shiftright("number", 33).alias("high"), F.pmod("number", F.lit(BLOCK)).cast("int").alias("slot"))
+    blocks = sorted((r["high"], r["low"]) for r in queries.select("high", "low").distinct().collect())  # a row for BLOCK queries
+    out = spark.createDataFrame([], seeds.select("query_id", "id").schema.add("score", "double"))
+    slots = min(BLOCK, n)
+    for high, low in blocks:
+        mine = queries.where((F.col("high") == high) & (F.col("low") == low)).select("query_id", "slot")
+        s = _walk(cells, salts, nodes, seeds.join(mine, "query_id").select("id", "slot").distinct(), slots, damping, rounds, every)
+        found = s.join(mine, "slot").join(nodes, ["part", "local"]).select("query_id", "id", "score")
+        out = out.union(written(found))
+    cells.unpersist()
+    return out
+
+
+def _walk(cells: DataFrame, salts: list[int], nodes: DataFrame, seeds: DataFrame, slots: int, damping: float, rounds: int, every: int) -> DataFrame:
+    """`(part, local, slot, score)` after the rounds from seeds `(id, slot)`."""
+    kind = "part int, salt int, ids binary, x binary"
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.column("part").to_numpy().astype(np.int64) << 32 | batch.column("local").to_numpy()
+            order = np.argsort(where, kind="stable")
+            some, first = np.unique(where[order], return_index=True)
+            x = np.zeros((len(some), slots))
+            x[np.searchsorted(some, where), batch.column("slot").to_numpy()] = 1 - damping
+            yield from _sent(some, x, salts).to_batches()
+
+    start = written(seeds.join(nodes, "id").select("part", "local", "slot").mapInArrow(begin, kind))
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _sent(np.zeros(0, np.int64), np.zeros((0, slots)), salts)
+        src, dst, w = (np.frombuffer(b"".join(left.column(c).to_pylist()), t) for c, t in (("src", np.int32), ("dst", np.int64), ("w", np.float64)))
+        scores = _scores(right, slots, int(src.max()) + 1)
+        live = scores.any(axis=1)[src]
+        src, dst, w = src[live], dst[live], w[live]
+        order = np.argsort(dst, kind="stable")
+        src, dst, w = src[order], dst[order], w[order]
+        runs = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
+        x = np.zeros((len(runs), slots))
+        ends = np.append(runs[1:], len(dst))
+        a = 0
+        while a < len(runs):  # as many targets as make some 4 million numbers, at least one
+            b = max(a + 1, int(np.searchsorted(ends, runs[a] + 4_000_000 // slots)))
+            at = slice(runs[a], ends[b - 1])
+            x[a:b] = np.add.reduceat(scores[src[at]] * w[at, None], runs[a:b] - runs[a])
+            a = b
+        return _sent(dst[runs], x, salts)
+
     s = start
     for k in range(rounds):
-        sent = s.join(hubs, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))) if dealt else s.withColumn("salt", F.lit(0))
-        moved = sent.withColumnRenamed("id", "src").join(e, ["src", "salt"]).select("block", F.col("dst").alias("id"), *[(F.col(c) * F.col("w")).alias(c) for c in slots])
-        s = start.union(moved.select(start.columns)).groupBy("block", "id").agg(*[F.sum(c).alias(c) for c in slots])
+        moved = cells.groupBy("part", "salt").cogroup(s.groupBy("part", "salt")).applyInArrow(step, kind)
+        s = moved.union(start)
         if k % every == every - 1 or k == rounds - 1:
             s = written(s)
-    e.unpersist()
-    numbers = F.stack(F.lit(len(slots)), *[x for j, c in enumerate(slots) for x in (F.lit(j), F.col(c))])
-    long = s.select("block", "id", numbers.alias("slot", "score")).where("score > 0")
-    named = queries.select("query_id", F.floor(F.col("number") / BLOCK).alias("block"), slot.cast("int").alias("slot"))
-    return long.join(named, ["block", "slot"]).select("query_id", "id", "score")
+
+    def end(held: pa.Table) -> pa.Table:
+        scores = _scores(held, slots)
+        local, slot = np.nonzero(scores > 0)
+        return pa.table({"part": pa.array(np.full(len(local), held.column("part")[0].as_py(), np.int32)), "local": pa.array(local.astype(np.int32)), "slot": pa.array(slot.astype(np.int32)), "score": pa.array(scores[local, slot])})
+
+    return s.where("salt = 0").groupBy("part").applyInArrow(end, "part int, local int, slot int, score double")
 
 
 def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> DataFrame:

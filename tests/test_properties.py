@@ -161,8 +161,8 @@ def test_pagerank_equals_brute_force_with_hubs_and_many_queries(spark, monkeypat
     rng = random.Random(4)
     edges = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(200)} | {("n0", f"n{i}") for i in range(40)}
     seeds = {(f"q{k}", f"n{rng.randrange(40)}") for k in range(11) for _ in range(3)} | {("lost", "nowhere")}
-    monkeypatch.setattr(graph, "BLOCK", 4)
-    monkeypatch.setattr(graph, "HUB", 10)
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    monkeypatch.setattr(graph, "CELL", 10)
     out = {}
     targets = {}
     for a, b in edges:
