@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factlog.functions.values import membership_hash
 from factlog.operators.components import connected_components
 from factlog.session import cut, partitions, written
 
@@ -280,9 +281,35 @@ def parse_token(token="token"):
 
 
 def fingerprints(members: DataFrame) -> DataFrame:
-    """G13 for every community. The hash is that of all its sorted ids in a row, so a community's ids meet in one task (some 30 bytes each); what is
-    kept is the hash alone."""
-    return members.groupBy("level", "community").agg(membership_hash(F.collect_list(F.col("id").cast("string"))).alias("hash"))
+    """G13 for every community `(level, community, hash)`: SHA-256 over its sorted ids, each after a NUL, repeats included.
+
+    Ids are sorted by the cluster inside their community and fed to the digest one Arrow batch at a time: a task holds a digest's state and a batch, never a
+    community's list. A digest can't be put together from parts, so a community is one task's stream; many communities are many tasks.
+    """
+    kind = members.schema["community"].dataType.simpleString()
+    rows = members.select(F.col("level").cast("int").alias("level"), "community", F.col("id").cast("string").alias("id")).where("id IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], types[0]), pa.array([digest.hexdigest()])], ["level", "community", "hash"])
+        types: list = []
+        for batch in batches:
+            types[:] = [batch.schema.field("community").type]
+            ids = batch.column("id").to_pylist()
+            keys = list(zip(batch.column("level").to_pylist(), batch.column("community").to_pylist(), strict=True))
+            at = 0
+            for key, group in groupby(keys):
+                n = sum(1 for _ in group)
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, digest = key, hashlib.sha256()
+                digest.update("".join(f"\0{x}" for x in ids[at : at + n]).encode())
+                at += n
+        if now is not None:
+            yield row()
+
+    return rows.repartition("level", "community").sortWithinPartitions("level", "community", "id").mapInArrow(run, f"level int, community {kind}, hash string")
 
 
 def refresh(prior: DataFrame, now: DataFrame) -> DataFrame:
@@ -302,6 +329,19 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "undirected") -> DataFrame:
+    """R15 with its edges: `(src, rel, dst, depth)`: the typed edges of which one end lies within depth - 1 steps of the starts, each once, in its own direction, at
+    the step that first met it; both its ends are then within `depth` steps. edges: `(src, rel, dst)`."""
+    typed = edges.select("src", "rel", "dst").distinct()
+    ways = typed if direction == "natural" else typed.select("src", "dst").union(typed.select("dst", "src"))
+    seen = traverse(ways.select("src", "dst").distinct(), starts, max(depth - 1, 0))
+    at = lambda end: seen.select(F.col("id").alias(end), F.col("depth").alias(end + "_at"))
+    met = typed.join(at("src"), "src", "left" if direction != "natural" else "inner")
+    met = met.withColumn("dst_at", F.lit(None).cast("int")) if direction == "natural" else met.join(at("dst"), "dst", "left")
+    first = F.least("src_at", "dst_at")  # nulls are skipped
+    return met.select("src", "rel", "dst", (first + 1).alias("depth")).where((F.col("depth") <= depth) & F.col("depth").isNotNull())
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, most: int = 32) -> DataFrame:
     """`(step, id)` of a shortest path, empty if there is none; of several, each node's parent is the smallest."""
     spark = edges.sparkSession

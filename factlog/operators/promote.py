@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.constants import FRAME_SCHEMAS
-from factlog.functions.values import membership_hash
+from factlog.operators.graph import fingerprints
 
 
 def reflect_candidates(members: DataFrame, cohesion: DataFrame, cursor: str | None, scope: DataFrame | None = None) -> DataFrame:
@@ -121,4 +121,5 @@ def materialise(members: DataFrame, states: DataFrame, most: int | None = None)
 
 
 def community_hashes(members: DataFrame) -> DataFrame:
-    return members.groupBy("community").agg(membership_hash(F.collect_list("id")).alias("hash"))
+    """G13 of communities `(community, id)` without levels."""
+    return fingerprints(members.select(F.lit(0).alias("level"), "community", "id")).drop("level")

@@ -327,6 +327,17 @@ SQL["r15_traverse"] = (
 )
 
 
+@query(
+    "r15_reach",
+    "WITH RECURSIVE e AS (SELECT DISTINCT 'entry:' || l_orderkey AS src, CASE WHEN l_linenumber % 2 = 0 THEN 'MENTIONS' ELSE 'REFERENCES' END AS rel, 'concept:' || l_partkey AS dst FROM lineitem), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),"
+    " walk AS (SELECT min(src) AS id, 0 AS depth FROM e UNION SELECT b.dst, depth + 1 FROM walk JOIN both_ways b ON b.src = id WHERE depth < 2), near AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
+    " SELECT e.src, rel, e.dst, least(coalesce(x.depth, 99), coalesce(y.depth, 99)) + 1 AS depth FROM e LEFT JOIN near x ON x.id = e.src LEFT JOIN near y ON y.id = e.dst WHERE x.id IS NOT NULL OR y.id IS NOT NULL",
+)
+def r15_reach(s, d):
+    edges = v.table(s, d, "lineitem").selectExpr("concat('entry:', l_orderkey) AS src", "if(l_linenumber % 2 = 0, 'MENTIONS', 'REFERENCES') AS rel", "concat('concept:', l_partkey) AS dst")
+    return graph.reach(edges, edges.select(F.min("src").alias("id")), 3)
+
+
 @query("r16_path", "WITH RECURSIVE e AS (SELECT DISTINCT 'n' || n_regionkey AS src, 'm' || n_nationkey AS dst FROM nation UNION SELECT DISTINCT 'm' || s_nationkey, 's' || s_suppkey FROM supplier), p AS (SELECT 'n' || (SELECT n_regionkey FROM nation WHERE n_nationkey = (SELECT s_nationkey FROM supplier WHERE s_suppkey = 5)) AS id, 0 AS step UNION ALL SELECT 'm' || (SELECT s_nationkey FROM supplier WHERE s_suppkey = 5), 1 UNION ALL SELECT 's5', 2) SELECT step, id FROM p")
 def r16(s, d):
     nation, supplier = v.table(s, d, "nation"), v.table(s, d, "supplier")
