@@ -2,6 +2,7 @@ import os
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_ngram_join import plain as linked
 
 import corpus_pipeline
@@ -65,3 +66,20 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_the_filters_take_columns_of_any_name(spark):
+    names = ["quality", "y", "at", "x", "h", "n", "held_out", "accepted", "bits", "score"]
+    docs = table(spark, SF, "documents").where("doc_id < 60").select("*", *[F.lit("v").alias(c) for c in names])
+    plain = docs.drop(*names)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {r.doc_id for r in stage(spark, plain, SF).collect()}
+
+
+def test_a_rare_language_is_held_to_its_own_rows(spark):
+    rows = [(i, f"the cat number {i % 50} sat on the mat near the old house", "en") for i in range(600)] + [(1000, "der hund lief sehr schnell zur alten katze am haus", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models, limits = language_id.learned(docs, F.lit(False), language_id.ROOM, 100, 8.0)
+    assert set(limits) == {"de", "en"} and limits["de"][6] < 16 and limits["en"][6] < 16
