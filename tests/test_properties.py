@@ -182,6 +182,32 @@ def test_pagerank_equals_brute_force_with_hubs_and_many_queries(spark, monkeypat
     assert graph.pagerank(e, s.where("false")).count() == 0
 
 
+def test_pagerank_between_two_sides_equals_pagerank(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(f"e{rng.randrange(30)}", f"c{rng.randrange(20)}") for _ in range(150)} | {("e0", f"c{i}") for i in range(20)}
+    seeds = {(f"q{k}", f"e{rng.randrange(30)}") for k in range(11) for _ in range(3)} | {("lost", "nowhere")}
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    p, s = spark.createDataFrame(sorted(pairs), "src string, dst string"), spark.createDataFrame(sorted(seeds), "query_id string, id string")
+    rows = lambda df: {(r.query_id, r.id): round(r.score, 12) for r in df.collect()}
+    for rounds in (4, 3):
+        want = rows(graph.pagerank(graph.semantic_graph(p), s, rounds=rounds))
+        monkeypatch.setattr(graph, "_swing", swing := Counted(graph._swing))
+        assert rows(graph.pagerank_between(p, s, rounds=rounds)) == want and swing.calls == 2
+        monkeypatch.setattr(graph, "_swing", swing.f)
+    assert graph.pagerank_between(p, s.where("false")).count() == 0
+    both = p.union(spark.createDataFrame([("c1", "c2")], p.schema))  # a node on both sides
+    assert rows(graph.pagerank_between(both, s, rounds=4)) == rows(graph.pagerank(graph.semantic_graph(both), s, rounds=4))
+
+
+class Counted:
+    def __init__(self, f):
+        self.f, self.calls = f, 0
+
+    def __call__(self, *args):
+        self.calls += 1
+        return self.f(*args)
+
+
 def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text("".join(f"line {i}\n" for i in range(5000)))
