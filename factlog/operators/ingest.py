@@ -111,8 +111,8 @@ def allocate(files: DataFrame, budget: int, least: int = 256) -> DataFrame:
 
 
 def module_bodies(allocated: DataFrame) -> DataFrame:
-    """`(module, body)`: a header, and each file's part under its name, marked where it is cut; by path."""
-    part = F.decode(F.substring(F.encode("content", "UTF-8"), F.lit(1), F.col("bytes").cast("int")), "UTF-8")
+    """`(module, body)`: a header, and each file's part under its name, marked where it is cut; by path. A character that the cut splits becomes U+FFFD."""
+    part = F.make_valid_utf8(F.substring(F.encode("content", "UTF-8"), F.lit(1), F.col("bytes").cast("int")).cast("string"))
     tail = F.when(F.col("bytes") < F.col("size"), F.concat(F.lit("\n... [truncated "), (F.col("size") - F.col("bytes")).cast("string"), F.lit(" bytes]\n"))).otherwise("")
     block = F.concat(F.lit("=== FILE: "), "path", F.lit(" ===\n"), part, tail, F.lit("\n\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", block.alias("block")))), lambda x: x["block"]), "")
