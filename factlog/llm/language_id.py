@@ -344,14 +344,14 @@ def _asked(docs: DataFrame, table: Table, limits: Limits | None) -> DataFrame:
     return own.union(rest).repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(score, FOUND)
 
 
-def calibrate(labelled: DataFrame, models: dict[str, Model] | Table, rows: int, spread: float) -> Limits:
-    """For each language and power of two of the length, the most bits a code point that are accepted: the mean of about `rows` training documents
-    of that language (a sample by a hash, so a rare language is measured on all it has) and `spread` standard deviations, which are wider for
-    short texts. A language that none of its own documents is taken for is held to the widest of the other limits."""
+def calibrate(labelled: DataFrame, models: dict[str, Model] | Table, rows: int | None, spread: float) -> Limits:
+    """For each language and power of two of the length, the most bits a code point that are accepted: the mean of the training documents
+    of that language and `spread` standard deviations, which are wider for short texts. A language that none of its own documents is taken for is held
+    to the widest of the other limits. rows: None for all training documents, as the queries have it; a number for about as many of each language, by a hash."""
     counts = labelled.groupBy("lang").count().collect()  # one row for a language
     bound = F.lit(None).cast("long")
     for r in counts:
-        if r["count"] > rows:
+        if rows is not None and r["count"] > rows:
             bound = F.when(F.col("lang") == r["lang"], -(1 << 63) + int(rows / r["count"] * (1 << 64))).otherwise(bound)
     some = labelled.where(F.coalesce(F.xxhash64("doc_id", "text") < bound, F.lit(True))).withColumn("held_out", F.lit(False))
     found = identify(some, models).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.avg("bits").alias("mean"), F.coalesce(F.stddev_pop("bits"), F.lit(0.0)).alias("sd")).collect() if counts else []
@@ -369,27 +369,27 @@ def names_of(models: dict[str, Model] | Table) -> list[str]:
     return models.names if isinstance(models, Table) else [*models]
 
 
-def learned(docs: DataFrame, held_out, room: int, calibration_rows: int, spread: float) -> tuple[dict[str, Model] | Table, Limits | None]:
+def learned(docs: DataFrame, held_out, room: int, calibration_rows: int | None, spread: float) -> tuple[dict[str, Model] | Table, Limits | None]:
     labelled = docs.select("doc_id", "text", "lang", held_out.alias("held_out")).where("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
     models = train(labelled, room)
     return models, calibrate(labelled, models, calibration_rows, spread) if names_of(models) else None
 
 
-def language_id(docs: DataFrame, held_out, room: int = ROOM, calibration_rows: int = 1024, spread: float = 8.0) -> DataFrame:
+def language_id(docs: DataFrame, held_out, room: int = ROOM, calibration_rows: int | None = None, spread: float = 8.0) -> DataFrame:
     """`(doc_id, held_out, lang_pred, score, bits, accepted)` of every row.
 
     Learns from text and lang of rows that are not held out (`held_out`: a boolean column); predicts from the text alone.
     lang_pred has the fewest bits a code point (ties: the first by name); `und` if the text is null or empty or has no letter, or nothing
     could be learned. score: 0 to 1, how far the choice stands from the others; 0 for `und`. accepted: false for `und`, and
-    for texts whose bits exceed what about `calibration_rows` training documents of the language (a bounded sample of labelled rows)
-    lead to expect. room: the most n-grams that are broadcast; no result depends on it. Repeated rows each count and each give a row; a null
+    for texts whose bits exceed what the training documents of the language lead to expect: all of them, or about `calibration_rows` of each
+    language if a number is given. room: the most n-grams that are broadcast; no result depends on it. Repeated rows each count and each give a row; a null
     doc_id is not held out; other columns are dropped; an empty table gives an empty result.
     """
     models, limits = learned(docs, held_out, room, calibration_rows, spread)
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), models, limits).drop("h")
 
 
-def keep_known(docs: DataFrame, held_out, room: int = ROOM, calibration_rows: int = 1024, spread: float = 8.0) -> DataFrame:
+def keep_known(docs: DataFrame, held_out, room: int = ROOM, calibration_rows: int | None = None, spread: float = 8.0) -> DataFrame:
     """The rows of `docs`, with all their columns, whose language is accepted; learned as in `language_id`.
 
     Null and empty texts and texts without a letter go. A text is accepted or not whatever its id, so repeated rows stay or go together; null ids

@@ -83,3 +83,11 @@ def test_a_rare_language_is_held_to_its_own_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     models, limits = language_id.learned(docs, F.lit(False), language_id.ROOM, 100, 8.0)
     assert set(limits) == {"de", "en"} and limits["de"][6] < 16 and limits["en"][6] < 16
+
+
+def test_limits_come_from_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} and more of the text {i * i}", "en") for i in range(1500)], "doc_id long, text string, lang string")
+    seen, identify = [], language_id.identify
+    monkeypatch.setattr(language_id, "identify", lambda some, *rest: (seen.append(some.count()), identify(some, *rest))[1])
+    language_id.language_id(docs, F.col("doc_id") % 3 == 0)
+    assert seen[0] == 1000
