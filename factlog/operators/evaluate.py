@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from factlog.functions.values import col
 from factlog.operators.recall import value_at
+from factlog.session import written
 
 
 def question_metrics(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -61,6 +62,7 @@ def module_path(body="body") -> Column:
 
 def labelled_hits(dump: DataFrame) -> DataFrame:
     """`(question, sim, ppr, positive)` from questions with nested hits and expected modules; all-zero scores are an error."""
+    dump = written(dump)  # read for the rows and for both checks
     df = dump.select("question", "expected", F.explode("hits").alias("h")).select("question", "h.sim", "h.ppr", F.array_contains("expected", F.col("h.module")).alias("positive"))
     if not dump.isEmpty() and df.where("sim <> 0 OR ppr <> 0").isEmpty():
         raise ValueError("the dump has no scores")
