@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,45 +69,51 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None
     part of the vectors, so no task holds more than a block and a batch. Vectors of other widths than the query's don't count, null and empty ones have no neighbours, a zero vector has cosine 0.
     """
     spark = queries.sparkSession
-    q = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    v = vectors.where("embedding IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    plain = F.col("embedding").cast("array<double>").alias("embedding")
+    q = queries.where("embedding IS NOT NULL AND size(embedding) > 0").select("query_id", plain)
+    v = vectors.where("embedding IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)").select(F.col("id").cast("string").alias("id"), plain)
+    q = written(q)
     n = q.count()
     out = f"query_id {q.schema['query_id'].dataType.simpleString()}, id string, sim double"
     more = {"k": k, "floor": floor, "exclude_self": exclude_self}
     if n <= QUERY_BLOCK:
         table = q.toArrow()  # at most QUERY_BLOCK rows
-        held = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), [np.array(x, float) for x in table.column("embedding").to_pylist()]))
+        held = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), matrices([table.column("embedding").combine_chunks()])))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = QueryBlock(*held.value, **more)
             for batch in batches:
-                block.add(batch.column("id").to_pylist(), batch.column("embedding").to_pylist())
+                block.add(batch.column("id").to_pylist(), matrices([batch.column("embedding")]))
             yield from block.rows()
 
-        pairs = v.mapInArrow(scan, out)
+        pairs = v.repartition(partitions(spark), "id").mapInArrow(scan, out)
     else:
-        blocks, parts = -(-n // QUERY_BLOCK), partitions(spark)
+        blocks = -(-n // QUERY_BLOCK)
+        parts = max(1, -(-partitions(spark) // blocks))  # every part of the vectors costs a copy of the queries
         side = q.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "query_id", F.lit(None).cast("string").alias("id"), "embedding")
         rest = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "id", "embedding")
-        both = side.union(rest).repartition("block", "part").sortWithinPartitions("block", "part", "id")  # a group's queries stand first
+        width = max(partitions(spark), min(blocks * parts, 20_000))
+        both = side.union(rest).repartition(width, "block", "part").sortWithinPartitions("block", "part", "id")  # a group's queries stand first
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, ids, held, block = None, [], [], None
             for batch in batches:
-                rows = list(zip(*(batch.column(c).to_pylist() for c in ("block", "part", "query_id", "id", "embedding")), strict=True))
-                for key, group in groupby(rows, key=lambda r: r[:2]):
-                    if key != now:
+                at, part = batch.column("block").to_numpy(), batch.column("part").to_numpy()
+                is_query = np.array(batch.column("id").is_null())
+                cuts = np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+                for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                    if lo == hi:
+                        continue
+                    if (at[lo], part[lo]) != now:
                         if block:
                             yield from block.rows()
-                        now, ids, held, block = key, [], [], None
-                    group = list(group)
-                    asked = [r for r in group if r[3] is None]
-                    ids += [r[2] for r in asked]
-                    held += [np.array(r[4], float) for r in asked]
-                    found = [r for r in group if r[3] is not None]
-                    if found and ids:
-                        block = block or QueryBlock(ids, held, **more)
-                        block.add([r[3] for r in found], [r[4] for r in found])
+                        now, ids, held, block = (at[lo], part[lo]), [], [], None
+                    if is_query[lo]:
+                        ids += batch.column("query_id").slice(lo, hi - lo).to_pylist()
+                        held.append(batch.column("embedding").slice(lo, hi - lo))
+                    elif ids:
+                        block = block or QueryBlock(ids, matrices(held), **more)
+                        block.add(batch.column("id").slice(lo, hi - lo).to_pylist(), matrices([batch.column("embedding").slice(lo, hi - lo)]))
             if block:
                 yield from block.rows()
 
@@ -117,49 +122,70 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "sim", "rank")
 
 
+def matrices(lists: list[pa.ListArray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For every width: the rows that have it, counted over all arrays, and their unit vectors; a zero vector stays."""
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists])  # a null entry is NaN
+    starts = np.cumsum(sizes) - sizes
+    out = {}
+    for width in np.unique(sizes):
+        rows = np.flatnonzero(sizes == width)
+        x = flat[starts[rows][:, None] + np.arange(width)]
+        norm = np.sqrt((x * x).sum(axis=1))
+        out[int(width)] = rows, x / np.where(norm > 0, norm, 1.0)[:, None]
+    return out
+
+
 class QueryBlock:
     """The best k vectors of a block of queries so far."""
 
-    def __init__(self, ids: list, vectors: list[np.ndarray], k: int, floor: float | None, exclude_self: bool):
-        self.ids, self.k, self.floor = ids, k, floor
+    def __init__(self, ids: list, vectors: dict[int, tuple[np.ndarray, np.ndarray]], k: int, floor: float | None, exclude_self: bool):
+        self.ids, self.k, self.floor, self.widths = ids, k, floor, vectors
         self.own = {str(x): i for i, x in enumerate(ids)} if exclude_self else {}
-        self.widths = {w: ([i for i, x in enumerate(vectors) if len(x) == w], np.stack([unit(x) for x in vectors if len(x) == w])) for w in {len(x) for x in vectors} - {0}}
-        self.best = [(np.zeros(0, int), np.zeros(0), [])]
-
-    def add(self, ids: list[str], vectors: list[list[float]]) -> None:
-        for width, (mine, q) in self.widths.items():
-            rows = sorted((i for i, x in enumerate(vectors) if len(x) == width and None not in x), key=lambda i: ids[i])
-            for lo in range(0, len(rows), step := max(1, 4_000_000 // len(mine))):
-                some = rows[lo : lo + step]
-                sims = np.round(q @ np.stack([unit(np.array(vectors[i], float)) for i in some]).T, 12)  # equal vectors have equal cosines
-                place = {i: j for j, i in enumerate(mine)}
-                for j, i in enumerate(some):
-                    if ids[i] in self.own and self.own[ids[i]] in place:
-                        sims[place[self.own[ids[i]]], j] = -np.inf
+        self.place = {w: {int(i): j for j, i in enumerate(mine)} for w, (mine, _) in vectors.items()} if exclude_self else {}
+        self.best, self.waiting = [(np.zeros(0, int), np.zeros(0), np.zeros(0, object))], 0
+
+    def add(self, ids: list[str], vectors: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        names = np.array([*ids, None], object)[:-1]
+        for width, (rows, units) in vectors.items():
+            if width not in self.widths:
+                continue
+            mine, q = self.widths[width]
+            order = np.argsort(names[rows], kind="stable")
+            rows, units = rows[order], units[order]
+            for lo in range(0, len(rows), step := max(1, 2_000_000 // len(mine))):
+                some = names[rows[lo : lo + step]]
+                sims = np.round(q @ units[lo : lo + step].T, 12)  # equal vectors have equal cosines
+                if self.own:
+                    for j, x in enumerate(some):
+                        i = self.place[width].get(self.own.get(x, -1))
+                        if i is not None:
+                            sims[i, j] = -np.inf
                 low = np.partition(sims, -self.k, axis=1)[:, -self.k][:, None] if len(some) > self.k else -np.inf
                 good = (sims >= low) & (sims > -np.inf) & (sims >= (-np.inf if self.floor is None else self.floor))
                 who, at = np.nonzero(good)
                 first = np.lexsort((at, -sims[who, at], who))
                 who, at = who[first], at[first]
-                rank = np.arange(len(who)) - np.searchsorted(who, who)
-                who, at = who[rank < self.k], at[rank < self.k]
-                self.best.append((np.array(mine, int)[who], sims[who, at], [ids[some[j]] for j in at]))
-            self.shrink(50)
-
-    def shrink(self, most: int) -> None:
-        if len(self.best) <= most:
-            return
-        who, sim, ids = np.concatenate([b[0] for b in self.best]), np.concatenate([b[1] for b in self.best]), [x for b in self.best for x in b[2]]
-        order = sorted(range(len(ids)), key=lambda i: (who[i], -sim[i], ids[i]))
-        rank = np.arange(len(order)) - np.searchsorted(who[order], who[order])
-        order = [i for i, r in zip(order, rank, strict=True) if r < self.k]
-        self.best = [(who[order], sim[order], [ids[i] for i in order])]
+                keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+                who, at = who[keep], at[keep]
+                self.best.append((mine[who], sims[who, at], some[at]))
+                self.waiting += len(who)
+                if self.waiting > 2_000_000:
+                    self.shrink()
+
+    def shrink(self) -> None:
+        who, sim, ids = (np.concatenate([b[c] for b in self.best]) for c in range(3))
+        _, number = np.unique(ids.astype(str), return_inverse=True) if len(ids) else (None, np.zeros(0, int))
+        order = np.lexsort((number, -sim, who))
+        who, sim, ids = who[order], sim[order], ids[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        self.best, self.waiting = [(who[keep], sim[keep], ids[keep])], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        self.shrink(0)
+        self.shrink()
         who, sim, ids = self.best[0]
         if len(ids):
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([self.ids[i] for i in who]), "id": pa.array(ids, pa.string()), "sim": pa.array(sim)})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array([self.ids[i] for i in who]), "id": pa.array(ids.tolist(), pa.string()), "sim": pa.array(sim)})
 
 
 def unit(x: np.ndarray) -> np.ndarray:
