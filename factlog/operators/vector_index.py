@@ -24,7 +24,8 @@ BLOCK_ROWS = 512
 MOST_BLOCKS = 1 << 19  # blocks grow with the table, so that their bounds (32 bytes each) can be broadcast whatever its size
 MOST_CELLS = 2048
 SLACK = 1e-6  # of angles: far more than rounding makes of them
-READERS = 1 << 15  # queries that a task compares with one block
+VISITS = 1 << 13  # visits that stand in one batch
+READERS = 1 << 12  # queries that a task compares with one block
 _ROWS = "width int, cell int, angle double, id string, unit binary"
 
 
@@ -213,7 +214,7 @@ def search(index: Index, queries: DataFrame, k: int, floor: float | None = None,
         centres, blocks = shared.value
         for batch in batches:
             for rows, first, _, u in plans(batch, centres, blocks, enough):
-                yield _visits(batch, rows, first, u, np.full(len(rows), -2.0), blocks)
+                yield from _visits(batch, rows, first, u, np.full(len(rows), -2.0), blocks)
 
     best = written(_top(_compared(index, q.mapInArrow(opening, visit), k, floor, exclude_self, kind), k))
     limit = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("least"))
@@ -243,16 +244,19 @@ def search(index: Index, queries: DataFrame, k: int, floor: float | None = None,
     def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, _, rest, u, least, blocks in open_blocks(batch):
-                yield _visits(batch, rows, rest, u, least, blocks)
+                yield from _visits(batch, rows, rest, u, least, blocks)
 
     more = _compared(index, asked.mapInArrow(closing, visit), k, floor, exclude_self, kind)
     return _top(best.select("query_id", "id", "sim").union(more), k), share
 
 
-def _visits(batch: pa.RecordBatch, rows: np.ndarray, chosen: np.ndarray, u: np.ndarray, least: np.ndarray, blocks: dict) -> pa.RecordBatch:
+def _visits(batch: pa.RecordBatch, rows: np.ndarray, chosen: np.ndarray, u: np.ndarray, least: np.ndarray, blocks: dict) -> Iterator[pa.RecordBatch]:
+    """The chosen pairs of queries and blocks, VISITS at a time: each carries its query's vector."""
     who, which = np.nonzero(chosen)
     raw = pa.array([r.tobytes() for r in u], pa.binary())
-    return pa.RecordBatch.from_pydict({"block": pa.array(blocks[u.shape[1]][0][which]), "query_id": batch.column("query_id").take(pa.array(rows[who])), "unit": raw.take(pa.array(who)), "least": pa.array(least[who])})
+    for lo in range(0, len(who), VISITS):
+        some, at = who[lo : lo + VISITS], which[lo : lo + VISITS]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(blocks[u.shape[1]][0][at]), "query_id": batch.column("query_id").take(pa.array(rows[some])), "unit": raw.take(pa.array(some)), "least": pa.array(least[some])})
 
 
 def _compared(index: Index, visits: DataFrame, k: int, floor: float | None, exclude_self: bool, kind: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_without_pruning_the_blocks_answer(spark):
     key = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
     assert key(vi.nearest(q, v, 3)) == key(recall.nearest(q, v, 3))
     assert vi.nearest(q.where("false"), v, 3).count() == 0 and vi.nearest(q, v.where("false"), 3).count() == 0
+
+
+def test_visits_are_sent_some_at_a_time():
+    import pyarrow as pa
+
+    u = np.eye(4)
+    batch = pa.RecordBatch.from_pydict({"query_id": ["a", "b", "c", "d"]})
+    blocks = {4: (np.arange(9_000),)}
+    sent = list(vi._visits(batch, np.arange(4), np.ones((4, 9_000), bool), u, np.zeros(4), blocks))
+    assert max(b.num_rows for b in sent) <= vi.VISITS and sum(b.num_rows for b in sent) == 36_000
