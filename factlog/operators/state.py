@@ -104,9 +104,9 @@ def rebind_facts(drifted: DataFrame, digest: str) -> DataFrame:
 
 def statistics(facts: DataFrame, watermarks: DataFrame, quarantined: DataFrame) -> DataFrame:
     """`(name, value)`: entries, the log's last tx, quarantined segments, and facts that each target lags behind."""
-    counts = facts.groupBy("tx").count()
-    lags = F.broadcast(watermarks.select("target", F.col("tx").alias("mark")))
-    behind = counts.join(lags, counts["tx"] > F.col("mark"), "right").groupBy("target").agg(F.coalesce(F.sum("count"), F.lit(0)).cast("string").alias("value"))
+    lags = watermarks.select("target", F.col("tx").alias("mark"))
+    late = facts.select("tx").join(F.broadcast(lags), F.col("tx") > F.col("mark")).groupBy("target").agg(F.count("*").alias("n"))
+    behind = lags.select("target").distinct().join(late, "target", "left").select("target", F.coalesce("n", F.lit(0)).cast("string").alias("value"))
     return (
         facts.where("e LIKE 'entry:%'").agg(F.countDistinct("e").cast("string").alias("value")).select(F.lit("entries").alias("name"), "value")
         .union(facts.agg(F.max("tx").alias("value")).select(F.lit("log_tx").alias("name"), "value"))
