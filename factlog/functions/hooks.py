@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlog.functions.values import concepts
+from factlog.session import written
 
 Embedder = Callable[[pd.Series], pd.Series]
 
@@ -55,7 +56,7 @@ def propose_links(candidates: DataFrame, model: Callable[[pd.DataFrame], pd.Data
 def propose_frames(members: DataFrame, kind: str = "Principle", top: int = 5) -> DataFrame:
     """U4: a deterministic proposal per community from `(community, id, body)`: its commonest concepts, and the member that has the
     most of them as the exemplar. Counts and ranks are aggregates; no community is gathered."""
-    tokens = members.select("community", "id", F.explode(concepts("body")).alias("token"))
+    tokens = written(members.select("community", "id", F.explode(concepts("body")).alias("token")))  # read for the counts and for the exemplars
     n = tokens.groupBy("community", "token").agg(F.count("*").alias("n"))
     best = n.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "token"))).where(F.col("r") <= top)
     names = best.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("name"))
