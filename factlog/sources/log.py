@@ -74,6 +74,7 @@ def faults(lines: DataFrame, block: int = 100_000) -> DataFrame:
     ended = F.col("ended") if "ended" in lines.columns else F.lit(True)
     at = F.floor(F.col("line_no") / block)
     marked = verify(lines).select("file", "line_no", "ok", ended.alias("ended"), F.get_json_object("line", "$.tx").alias("tx"), at.alias("at"))
+    marked = written(marked)  # read for the blocks' ends and for their lines: every line is made and checked once
     ends = marked.groupBy("file", "at").agg(F.max("line_no").alias("top"), F.max_by(F.struct("tx"), "line_no").alias("end"))
     by_file = Window.partitionBy("file").orderBy("at")  # a row a block
     ends = ends.select("file", "at", F.lag("end").over(by_file).alias("end"), F.when(F.lead("at").over(by_file).isNull(), F.col("top")).alias("last_line"))
@@ -133,9 +134,10 @@ class FactTable:
         """Append the sound groups of a batch `(grp, fact columns, checksum)` and return `check_group`'s rows: what was refused and why. Facts are clustered by entity
         within a day, and a day is dealt over as many files as its rows need, so a batch of one day uses many tasks."""
         now = self.versions.current() or Version(-1, {}, {"last_tx": None})
-        report = written(check_group(facts, now.values["last_tx"]))
         if batch <= now.number:
-            return report
+            return check_group(facts, now.values["last_tx"])
+        facts = written(facts)  # read for the check, for the days and for the write: every fact is sealed once
+        report = written(check_group(facts, now.values["last_tx"]))
         good = facts.join(report.where("error IS NULL").select("grp"), "grp", "left_semi").drop("grp").withColumn("tx_day", tx_day("tx"))
         days = good.groupBy("tx_day").agg(F.ceil(F.count("*") / self.rows_per_file).cast("int").alias("files"), F.max("tx").alias("last")).collect()  # a row a day
         last = max((r["last"] for r in days), default=None)
