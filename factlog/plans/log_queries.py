@@ -11,7 +11,7 @@ from factlog.functions.constants import SECRET_RULES
 from factlog.operators import activation, projection, snapshots, state, write
 from factlog.plans import views as v
 from factlog.plans.views import sql
-from factlog.session import PREFIX, shared_dir
+from factlog.session import PREFIX, shared_dir, spread
 from factlog.sources import log
 
 Q: dict = {}
@@ -385,7 +385,7 @@ def w2(s, d):
 
 @query("w3_entropy", "WITH b AS (SELECT item_id, unnest(string_split(text, '')) AS c FROM (SELECT p_partkey AS item_id, p_name AS text FROM part)), n AS (SELECT item_id, c, count(*) AS k FROM b GROUP BY item_id, c) SELECT item_id, round(-sum(k / t * log2(k / t)), 6) AS bits FROM (SELECT *, sum(k) OVER (PARTITION BY item_id) AS t FROM n) GROUP BY item_id")
 def w3(s, d):
-    return v.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.round(values.entropy("p_name"), 6).alias("bits"))
+    return spread(v.table(s, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("item_id"), F.round(values.entropy("p_name"), 6).alias("bits"))
 
 
 @query("w4_rules", "SELECT DISTINCT p_brand AS name, CASE WHEN p_size > 45 THEN 'BUILTIN_REDEFINED' END AS error FROM part WHERE p_size > 45 OR p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) UNION ALL SELECT DISTINCT p_brand, NULL FROM part WHERE p_size > 45")
